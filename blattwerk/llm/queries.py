@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blattwerk.llm import encoding, unify
-from blattwerk.session import table
+from blattwerk.llm import chunk, encoding, mix, pack, tokens, unify
+from blattwerk.session import cut, table
 
 
 def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,43 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.examine(table(spark, sf_dir, "zeilen"), model, ["zeile_id", "text"])
 
 
+def setting(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """A value of the table of settings, which has one row per name."""
+    return table(spark, sf_dir, "vorgaben").where(F.col("name") == name).first()["wert"]
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page in pieces under the limit."""
+    limit, overlap = (setting(spark, sf_dir, f"p5_{n}") for n in ("max_zeichen", "ueberlappung_zeichen"))
+    return chunk.pieces(table(spark, sf_dir, "zeilen"), limit, overlap)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that had to be cut."""
+    return p5_pieces(spark, sf_dir).groupBy("buch_id", "seite").count().where("count > 1").select("buch_id", "seite")
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(tokens.count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of the capacity."""
+    return pack.pack(document_tokens(spark, sf_dir), "doc_id", setting(spark, sf_dir, "p6_kapazitaet_token"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture in their slots."""
+    return mix.mixture(document_tokens(spark, sf_dir), table(spark, sf_dir, "mischziele"), setting(spark, sf_dir, "p7_gesamt_prozent"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the mixture that each source really got."""
+    return mix.shares(document_tokens(spark, sf_dir), table(spark, sf_dir, "mischziele"), setting(spark, sf_dir, "p7_gesamt_prozent"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
