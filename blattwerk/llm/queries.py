@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blattwerk.llm import chunk, encoding, mix, pack, tokens, unify
+from blattwerk.llm import chunk, encoding, mix, names, pack, tokens, unify
 from blattwerk.session import cut, table
 
 
@@ -46,6 +46,16 @@ def setting(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, "vorgaben").where(F.col("name") == name).first()["wert"]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of front matter rows that name the same in different spellings."""
+    return names.pairs(table(spark, sf_dir, "kopfbloecke"), "kopf_id")
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each front matter row names."""
+    return names.links(table(spark, sf_dir, "kopfbloecke"), "kopf_id")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every page in pieces under the limit."""
     limit, overlap = (setting(spark, sf_dir, f"p5_{n}") for n in ("max_zeichen", "ueberlappung_zeichen"))
@@ -77,7 +87,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_links, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
