@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blattwerk.llm import chunk, encoding, mix, names, pack, tokens, unify
+from blattwerk.llm import chunk, encoding, langid, mix, names, pack, tokens, unify
 from blattwerk.session import cut, table
 
 
@@ -86,8 +86,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(document_tokens(spark, sf_dir), table(spark, sf_dir, "mischziele"), setting(spark, sf_dir, "p7_gesamt_prozent"))
 
 
+def language_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.segments(documents, langid.fit(documents))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of a document that its label doesn't name."""
+    return langid.unnamed(table(spark, sf_dir, "documents"), language_segments(spark, sf_dir))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of every document, each with its language."""
+    return language_segments(spark, sf_dir).withColumn("konfidenz", F.round("konfidenz", 4))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every document with their shares."""
+    return langid.document_languages(language_segments(spark, sf_dir)).withColumn("konfidenz", F.round("konfidenz", 4))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_links, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_links, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

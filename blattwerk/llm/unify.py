@@ -105,12 +105,17 @@ def _translation() -> dict[int, str]:
     return {ord(c): mapping()[c] for c in odd_characters()}
 
 
+@lru_cache
+def _odd_search():
+    return re.compile("[" + re.escape("".join(sorted(odd_characters() | set(LOOKALIKE)))) + "\u0300-\u036f]").search
+
+
 def fold(text: str) -> str:
     """The form of one short text, without a corpus: for other operators.
 
     Look-alike letters are folded in words that also hold a Latin letter.
     """
-    if text.isascii():
+    if text.isascii() or not _odd_search()(text):
         return text
     end = text[-1:] if text[-1:] in END_MARKS else ""
     body = text[: len(text) - len(end)].translate(_translation())
