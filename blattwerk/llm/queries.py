@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blattwerk.llm import chunk, encoding, langid, mix, names, pack, tokens, unify
+from blattwerk.llm import chunk, encoding, langid, mix, names, pack, scan, tokens, unify
 from blattwerk.session import cut, table
 
 
@@ -16,6 +16,21 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(spans)
 
 
+def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, documents, heads = (table(spark, sf_dir, t) for t in ("zeilen", "documents", "kopfbloecke"))
+    return scan.read(lines, documents, heads.select("buch_id", "titel"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with marks of the printed page and of scanning."""
+    return scan.cases(pages_read(spark, sf_dir))
+
+
+def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running text of every book in paragraphs."""
+    return scan.paragraphs(pages_read(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text stands in another form, those of problem 3 left out."""
     new = unify.changed(marked_texts(spark, sf_dir), ["tabelle", "id"])
@@ -107,7 +122,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_links, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_links, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
