@@ -101,7 +101,7 @@ def file_name_safe(text: Column) -> Column:
 def short_author(author: Column) -> Column:
     """Three persons or more as the first and ``et al.``"""
     people = F.filter(F.transform(F.split(author, r";|,| und | and | & "), strip), lambda p: p != "")
-    return F.when(F.size(people) >= 3, F.concat(people[0], F.lit(" et al."))).otherwise(author)
+    return F.when(F.size(people) >= 3, F.concat(F.get(people, F.lit(0)), F.lit(" et al."))).otherwise(author)
 
 
 def person_in_order(name: Column) -> Column:
