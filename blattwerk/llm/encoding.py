@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blattwerk.llm.labels import LANGUAGES, named_language
+from blattwerk.llm.labels import LANGUAGES, labelled_sample
 
-#: The dictionaries are fitted on the SAMPLE_DOCS labelled documents with the
-#: least hash of their id, and on no more than SAMPLE_CHARS characters of each.
+#: The dictionaries are fitted on the SAMPLE_DOCS labelled documents with
+#: hashes of their id, and on no more than SAMPLE_CHARS characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 6000
 DICT_BYTES = 48 * 1024
 LEVEL = 1
@@ -56,6 +56,7 @@ WRONG_FOR = {
 CHAINS = [((w, r),) for r, ws in WRONG_FOR.items() for w in ws] + [
     ((a, "utf-8"), (b, "utf-8")) for a in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850") for b in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
 ]
+NAMES = [">".join(f"{r}/{w}" for w, r in chain) for chain in CHAINS]
 LOST = "\ufffd"
 WORD = re.compile("[^\\W\\d_\ufffd]+(?:[-\u2013\ufffd]*[^\\W\\d_]+)*|\ufffd[^\\W\\d_\ufffd][^\\W\\d_]*(?:[-\u2013\ufffd]*[^\\W\\d_]+)*")
 #: What a lost character may have been.
@@ -107,7 +108,7 @@ class Decoder:
             self.comp["und"] = zstd.ZstdCompressor(level=LEVEL, write_content_size=False)
             self.chars, self.words = {"und": dict.fromkeys(PLAIN, 1.0)}, {"und": set()}
         self.bytes = {c: byte_table(c) for c in {w for ws in WRONG_FOR.values() for w in ws}}
-        self.memo: dict[tuple, str | None] = {}
+        self.memo: dict[str, dict[int, str]] = {}
 
     def size(self, text: str, lang: str) -> float:
         cost = self.chars[lang]
@@ -135,9 +136,6 @@ class Decoder:
 
     def token(self, tok: str, chain: tuple) -> str | None:
         """``tok`` through ``chain``, or None where that gives nothing usable."""
-        key = (tok, chain)
-        if key in self.memo:
-            return self.memo[key]
         out: str | None = tok
         for wrong, right in chain:
             table, raw = self.bytes[wrong], bytearray()
@@ -155,26 +153,31 @@ class Decoder:
                 out = None
                 break
         if out == tok or out is not None and not all(c < "\x7f" or c in USUAL or c.isalpha() and right == "utf-8" or ord(c) > 0x2000 and right == "utf-8" for c in out):
-            out = None
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[key] = out
+            return None
         return out
 
+    def results(self, tok: str) -> dict[int, str]:
+        """What each chain makes of ``tok``, where that is usable."""
+        if tok not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[tok] = {k: s for k, chain in enumerate(CHAINS) if (s := self.token(tok, chain)) is not None}
+        return self.memo[tok]
+
     def candidates(self, text: str) -> Iterator[tuple[str, str, float]]:
         """Name, result and cost of every chain that changes ``text``."""
         toks = text.split(" ")
-        high = [(i, t) for i, t in enumerate(toks) if not t.isascii()]
-        for chain in CHAINS:
-            name = ">".join(f"{r}/{w}" for w, r in chain)
-            new = {i: s for i, t in high if (s := self.token(t, chain)) is not None}
-            if not new:
-                continue
-            cost = STEP_COST * len(chain)
-            yield name, " ".join(new.get(i, t) for i, t in enumerate(toks)), cost
+        by: dict[int, dict[int, str]] = {}
+        for i, t in enumerate(toks):
+            if not t.isascii():
+                for k, s in self.results(t).items():
+                    by.setdefault(k, {})[i] = s
+        for k in sorted(by):
+            new, cost = by[k], STEP_COST * len(CHAINS[k])
+            yield NAMES[k], " ".join(new.get(i, t) for i, t in enumerate(toks)), cost
             odd = {i: s for i, s in new.items() if any(c > "\x7f" and c not in PLAIN for c in toks[i])}
             if odd and len(odd) < len(new):
-                yield name, " ".join(odd.get(i, t) for i, t in enumerate(toks)), cost + STEP_COST
+                yield NAMES[k], " ".join(odd.get(i, t) for i, t in enumerate(toks)), cost + STEP_COST
 
     def near(self, tok: str, lang: str) -> float:
         """0 where a known word fits ``tok``, whose lost characters may be any."""
@@ -238,17 +241,10 @@ def fit(documents: DataFrame) -> Model:
     """
     import zstandard as zstd
 
-    rows = (
-        documents.select("doc_id", named_language(F.col("lang")).alias("l"), "text")
-        .where("l is not null and text is not null")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("l", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .collect()
-    )
+    rows = labelled_sample(documents, SAMPLE_DOCS, SAMPLE_CHARS)
     model = Model({}, {}, {})
     for lang in LANGUAGES:
-        parts = [p for r in rows if r.l == lang for p in r.text.split("\n") if len(p) > 20]
+        parts = [p for name, text in rows if name == lang for p in text.split("\n") if len(p) > 20]
         if not parts:
             continue
         raw = [p.encode() for p in parts]
