@@ -96,6 +96,14 @@ def candidate_pattern() -> str:
     return _ranges(set(odd_characters()) | set(LOOKALIKE) | {chr(c) for c in range(0x300, 0x370)})
 
 
+@lru_cache
+def unusual_pattern() -> str:
+    """Java pattern of all characters but the most usual ones: a class of few
+    ranges, which sorts out nearly all texts before the long class is tried."""
+    usual = {chr(c) for c in range(0x180)} | set("–—‘’“”„…•€")
+    return "[^" + _ranges(usual - odd_characters() - set(LOOKALIKE))[1:]
+
+
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\uff21-\uff3a\uff41-\uff5a]")
 
@@ -107,7 +115,9 @@ def _translation() -> dict[int, str]:
 
 @lru_cache
 def _odd_search():
-    return re.compile("[" + re.escape("".join(sorted(odd_characters() | set(LOOKALIKE)))) + "\u0300-\u036f]").search
+    # characters beyond the BMP as one range: listed one by one they'd be compared one by one
+    chars = "".join(sorted(c for c in odd_characters() | set(LOOKALIKE) if c < "\U00010000"))
+    return re.compile("[" + re.escape(chars) + "\u0300-\u036f\U00010000-\U0010ffff]").search
 
 
 def fold(text: str) -> str:
@@ -192,7 +202,7 @@ def changed(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     ones are one group of code points each, never more than the text itself.
     Other columns are ignored, so they may have any names.
     """
-    src = rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__t")).where(F.col("__t").rlike(candidate_pattern()))
+    src = rows.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__t")).where(F.col("__t").rlike(unusual_pattern()) & F.col("__t").rlike(candidate_pattern()))
     table = code_point_table(rows.sparkSession)
     ends = F.lit(END_MARKS)
     points = src.select(*keys, F.posexplode(F.regexp_extract_all("__t", F.lit("(?s)(.)"), 1)).alias("__pos", "ch"), F.length("__t").alias("__n"))
