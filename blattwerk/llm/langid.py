@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blattwerk.llm.labels import LANGUAGES, named_language
+from blattwerk.llm.labels import LANGUAGES, labelled_sample, named_language
 
 WINDOW, WIDTHS, FILTERS, EMBED = 96, (2, 3, 4, 5), 16, 8
 #: The network is fitted on the SAMPLE_DOCS labelled documents with the least
@@ -30,7 +30,7 @@ STEPS, BATCH, RATE = 500, 256, 0.006
 #: language other than the main one needs.
 MIN_LETTERS, MIN_CONFIDENCE = 25, 0.7
 #: Windows to a batch.
-SLICE = 1024
+SLICE = 256
 
 _BLOCK = re.compile(r"\n[ \t]*\n\s*")
 _QUOTE = re.compile(r"[„“«»‚‘\"][^„“”«»‚‘\"\n]{1,80}[“”«»’‘\"]")
@@ -68,7 +68,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
         if not part.strip() or _PLAIN.match(part) or part.startswith("#") and "\n" not in part:
             continue
         body = clean(_HEADING.sub("", part))
-        if sum(map(str.isalpha, body)) >= MIN_LETTERS:
+        if sum(map(str.isalpha, body[: 4 * MIN_LETTERS])) >= MIN_LETTERS or sum(map(str.isalpha, body)) >= MIN_LETTERS:
             yield start, at, body
 
 
@@ -112,12 +112,34 @@ class Network:
             feats.append(np.maximum(np.take_along_axis(total, at[:, None], 1)[:, 0], 0))
         return np.concatenate(feats, axis=1), where
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def tables(self) -> list[list[np.ndarray]]:
+        """Per width a table for each pair of neighbouring bytes, and for a last odd one."""
+        out = []
+        for bank in self.banks:
+            single = [self.embed @ m for m in bank]
+            pairs = [(single[k][:, None] + single[k + 1][None]).reshape(65536, FILTERS) for k in range(0, len(bank) - 1, 2)]
+            out.append(pairs + single[len(pairs) * 2 :])
+        return out
+
+    def features(self, x: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
+        """The pooled features alone, by sums over byte pairs."""
+        x = np.ascontiguousarray(x.T)  # positions first: sums and maxima run over whole rows
+        pair = x[:-1].astype(np.int32) * 256 + x[1:]
+        feats = []
+        for w, own in zip(WIDTHS, tables):
+            n, total = WINDOW - w + 1, None
+            for k, table in enumerate(own):
+                part = table[(pair if len(table) > 256 else x)[2 * k : 2 * k + n]]
+                total = part if total is None else np.add(total, part, out=total)
+            feats.append(np.maximum(total.max(axis=0), 0))
+        return np.concatenate(feats, axis=1)
+
+    def probabilities(self, x: np.ndarray, tables: list[list[np.ndarray]] | None = None) -> np.ndarray:
         if not len(x):
             return np.zeros((0, len(self.languages)), np.float32)
-        out = []
+        out, tables = [], tables or self.tables()
         for i in range(0, len(x), SLICE):
-            z = self.pooled(x[i : i + SLICE])[0] @ self.out + self.bias
+            z = self.features(x[i : i + SLICE], tables) @ self.out + self.bias
             e = np.exp(z - z.max(axis=1, keepdims=True))
             out.append(e / e.sum(axis=1, keepdims=True))
         return np.concatenate(out)
@@ -195,18 +217,11 @@ def fit_rows(rows: list[tuple[str, str]], seed: int = 7) -> Network:
 
 def fit(documents: DataFrame) -> Network:
     """A network from the labelled documents of a bounded sample."""
-    rows = (
-        documents.select("doc_id", named_language(F.col("lang")).alias("l"), "text")
-        .where("l is not null and text is not null")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("l", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .collect()
-    )
-    return fit_rows([(r.l, r.text) for r in rows])
-
-
-def classify(texts: list[str], net: Network) -> list[list[tuple[int, int, str, float]]]:
+    rows = labelled_sample(documents, SAMPLE_DOCS, SAMPLE_CHARS)
+    return fit_rows(rows)
+
+
+def classify(texts: list[str], net: Network, tables: list[list[np.ndarray]] | None = None) -> list[list[tuple[int, int, str, float]]]:
     """Per text its segments: start, end, language, confidence."""
     raws: list[bytes] = []
     spans: list[tuple[int, int, int, int, int]] = []
@@ -215,7 +230,7 @@ def classify(texts: list[str], net: Network) -> list[list[tuple[int, int, str, f
             w = windows(body)
             spans.append((n, a, b, len(raws), len(raws) + len(w)))
             raws += w
-    p = net.probabilities(matrix(raws)) if raws else None
+    p = net.probabilities(matrix(raws), tables) if raws else None
     out: list[list] = [[] for _ in texts]
     for n, a, b, i, j in spans:
         mean = p[i:j].mean(axis=0)
@@ -258,11 +273,12 @@ def segments(documents: DataFrame, net: Network, key: str = "doc_id", text: str
     schema = f"`{key}` {dict(documents.dtypes)[key]}, segment int, von int, bis int, lang string, konfidenz double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first in range(0, len(texts), 256):
                 rows: list[list] = [[] for _ in range(6)]
-                for n, found in enumerate(classify(texts[first : first + 256], net)):
+                for n, found in enumerate(classify(texts[first : first + 256], net, tables)):
                     for k, seg in enumerate(found):
                         for col, v in zip(rows, (first + n, k, *seg)):
                             col.append(v)
