@@ -24,7 +24,7 @@ def test_books(spark):
     assert one(b, C.book(c, "din")) == "MUSTER, Hans Dieter und Sam BEISPIEL, 2016. *Titel*. 3. Aufl. Ort: Verlag. DOI: 10.1/x"
     assert one(b, C.bibtex_book(c)).startswith("@book{muster2016titel, author = {Muster, Hans Dieter and Beispiel, Sam}, title = {{Titel}}, edition = {3}")
     none = book(spark, [], auflage="1", doi=None, verlag=None, ort=None, jahr=None)
-    assert one(none, C.book(c)) == "*Titel*." and one(none, C.book(c, "din")) == "*Titel*, o. J."
+    assert one(none, C.book(c)) == "*Titel*." and one(none, C.book(c, "din")) == "*Titel*, o. J.."
     many = book(spark, [("A", f"N{i}") for i in range(7)])
     assert one(many, C.book(c)).startswith("A. N0 et al., ")
     assert one(book(spark, [], [("E", "H")]), C.is_collection(c)) is True

@@ -27,7 +27,7 @@ def test_metadata(spark, tmp_path):
     (tmp_path / "b.epub").write_bytes(zipped(**{"META-INF__container_dot_xml": BOX, "o_dot_opf": OPF}))
     (tmp_path / "c.html").write_bytes('<title>Seite</title><meta name="citation_title" content="Größe"><meta name="dc.creator" content="Kafka, Franz, 1883-1924">'.encode("cp1252"))
     (tmp_path / "d.docx").write_bytes(b"kaputt")
-    (tmp_path / "~$e.docx").write_bytes(b"")
+    (tmp_path / "~$e.docx").write_bytes(b"x")
     assert {r.name: r.supported for r in readers.listing(spark, str(tmp_path)).collect()} == {"a.docx": True, "b.epub": True, "c.html": True, "d.docx": True, "~$e.docx": False}
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.name: r for r in readers.metadata(files).collect()}
