@@ -126,4 +126,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the size of a page can be told in SQL; the others are tested otherwise."""
+    return {
+        "p5_found": """with l as (select buch_id, seite, pos, arg_max(struct_pack(t := text), (gelesen_am, zeile_id)).t as text from zeilen group by all),
+p as (select buch_id, seite, sum(length(text)) + count(*) - 1 as n from l where text is not null group by all)
+select buch_id, seite from p where n > (select wert from vorgaben where name = 'p5_max_zeichen')"""
+    }
