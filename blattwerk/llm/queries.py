@@ -16,19 +16,19 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(spans)
 
 
-def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines, documents, heads = (table(spark, sf_dir, t) for t in ("zeilen", "documents", "kopfbloecke"))
-    return scan.read(lines, documents, heads.select("buch_id", "titel"))
+    return lines, documents, heads.select("buch_id", "titel")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with marks of the printed page and of scanning."""
-    return scan.cases(pages_read(spark, sf_dir))
+    return scan.cases(*scanned(spark, sf_dir))
 
 
 def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running text of every book in paragraphs."""
-    return scan.paragraphs(pages_read(spark, sf_dir))
+    return scan.paragraphs(*scanned(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
