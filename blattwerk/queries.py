@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blattwerk.functions import citations, text
-from blattwerk.operators import layout, log, metrics, pages, styles
-from blattwerk.plans import plans
+from blattwerk.operators import layout, log, metrics, pages, repair, styles
+from blattwerk.plans import assembly, plans
 from blattwerk.session import table
 
 
@@ -295,7 +295,41 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("band").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
+def assembled_text(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.assembled(book_lines(spark, d), outline_source(spark, d)).select("doc", "text")
+
+
+def outline_source(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lesezeichen").select(F.col("buch_id").alias("doc"), F.col("seite").alias("page"), "pos", F.col("ebene").alias("level"), F.col("titel").alias("title"))
+
+
+def columns_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Lines laid out in two columns that the stream alternates between."""
+    x = F.when(F.col("pos") % 2 == 0, 60.0).otherwise(300.0)
+    y = 700.0 - 12 * F.floor(F.col("pos") / 2).cast("double")
+    runs = book_lines(spark, d).select("doc", "page", F.col("pos").alias("run"), x.alias("left"), y.alias("bottom"), (x + 200).alias("right"), (y + 10).alias("top"))
+    return layout.column_order(runs).select("doc", "page", "run", "rank", "moved")
+
+
+def word_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Digits of each outline title set as small characters over the line."""
+    t = outline_source(spark, d).select("doc", "page", F.row_number().over(Window.partitionBy("doc", "page").orderBy("pos", "title")).alias("line"), F.posexplode(F.split("title", "")).alias("idx", "text")).where("text <> ''")
+    digit = F.col("text").rlike("[0-9]")
+    c = t.withColumn("size", F.when(digit, 7.0).otherwise(10.0)).withColumn("baseline", F.when(digit, 4.0).otherwise(0.0))
+    return layout.typeset_lines(c)
+
+
+def text_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Line changes between the first and the last document of a book and chapter."""
+    t = table(spark, d, "documents").where("buch_id is not null and kapitel is not null")
+    key = F.concat_ws("/", "buch_id", "kapitel").alias("doc")
+    first = t.groupBy(key).agg(F.min_by("text", "doc_id").alias("text"))
+    last = t.groupBy(key).agg(F.max_by("text", "doc_id").alias("text"))
+    return repair.aligned_changes(first, last)
+
+
 NAMES = (
+    assembled_text, columns_ordered, word_scripts, text_changes,
     running_lines, edge_lines_removed, page_sizes, sentence_breaks, number_sections, printed_numbers, running_titles_removed, page_paragraphs,
     outline_entries, outline_shifted, outline_lines, reading_changes, umlauts_completed, weak_spots, body_sizes, size_headings, emphasised,
     phrase_lines, run_summary, step_durations, undo_candidates, latest_runs, provenance, review_reasons, document_figures, figure_sums,
