@@ -430,4 +430,26 @@ select p.id, case when c = 1 then h.pos end as pos from p left join h using (id)
         "nearest_label": """with e as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), c as (select label, i, avg(x) as m from e group by all),
 d as (select vec_id, c.label::varchar as char, sum(x * m) as s from e join c using (i) group by all), r as (select *, row_number() over w as k, lead(s) over w as nxt from d window w as (partition by vec_id order by s desc, char))
 select vec_id, char, round(s, 6) as score from r where k = 1 and s >= -1 and s - coalesce(nxt, 0) >= 0.001""",
+        "quality_points": f"""with {_FIGURES}, q as (select sum(unsicher)::bigint as u, sum(formelzeilen)::bigint as f, sum(gedruckt)::bigint as g, sum(gedruckt + nur_pdf)::bigint as p, count(*) as n,
+count(*) filter (doc_id % 2 = 0) as e from figures) select unnest(['Formelzeichen repariert', 'Verbliebene �', 'Formeln unsicher markiert', 'Tabellen als Markdown', 'Überschriften direkt im Text',
+'Spaltenseiten umsortiert', 'Seiten mit gedruckter Zahl', 'Bücher mit aktuellem Verfahren']) as titel, unnest([0, 0, u, 0, 0, 0, g, e]) as wert, unnest([0, 0, f, 0, 0, 0, p, n]) as max,
+unnest([0, 0, n, 0, 0, 0, n, n]) as buecher, n as alle from q""",
+        "review_routing": rf"""with {_BOOKS}, b as (select buch_id, jahr, trim(titel) as t, originaldatei, concat_ws('; ', case when trim(coalesce(titel, '')) = '' then 'titel fehlt' end,
+case when trim(coalesce(autor, '')) = '' then 'autor fehlt' end, case when trim(coalesce(jahr, '')) = '' then 'jahr fehlt' end) as f from books),
+p as (select buch_id, case when f <> '' then f when not regexp_matches(jahr, '^(?:1[5-9]|20)\d{{2}}$') then 'Jahr unplausibel'
+when regexp_matches(t, '^(?:(?i:isbn)[\s:]*)?[\d\-\sxX]{{10,}}$|^10\.\d{{4,9}}/\S+$') then 'Titel ist eine Kennung' when coalesce(originaldatei, '') = '' then 'Original fehlt' end as pruefen from b)
+select buch_id, pruefen, case when pruefen is null then 'Fertig' else 'Prüfen' end as target from p""",
+        "umlauts_completed": """with w as (select source as doc, doc_id, unnest(regexp_extract_all(text, '([A-Za-zäöüÄÖÜß]+)', 1)) as w from documents where source is not null),
+c as (select doc, case when doc_id % 3 = 0 and length(w) - length(replace(w, 'ü', '')) = 1 then replace(w, 'ü', '�') else w end as word, count(*) as n from w group by all),
+t as (select doc, word, replace(word, '�', u) as better from c, unnest(['ä', 'ö', 'ü', 'Ä', 'Ö', 'Ü', 'ß']) as x(u) where length(word) >= 3 and length(word) - length(replace(word, '�', '')) = 1),
+f as (select t.doc, t.word, better, n, row_number() over win as k, coalesce(lead(n) over win, 0) as rival from t join c on c.doc = t.doc and c.word = better window win as (partition by t.doc, t.word order by n desc, better))
+select doc, word, better from f where k = 1 and n >= 2 and 3 * rival <= n""",
+        "number_sections": rf"""with {_LINES}, l as (select doc, page, pos, {strip("line")} as z from lines where line is not null),
+r as (select *, row_number() over (partition by doc, page order by pos) as a, row_number() over (partition by doc, page order by pos desc) as b from l where z <> ''),
+c as (select distinct doc, page, try_cast(unnest([regexp_extract(z, '^[-–—]?\s*(\d{{1,4}})\s*[-–—]?$', 1), regexp_extract(z, '(?i)^(?:Seite|S\.|Page)\s*(\d{{1,4}})(?:\s*(?:von|of|/)\s*\d{{1,4}})?$', 1),
+regexp_extract(z, '^(\d{{1,4}})\s{{1,6}}(?:\d{{1,3}}\s+)?[^\d\s.,:;/)\-–].{{0,90}}$', 1), regexp_extract(z, '^.{{0,90}}[^\d\s.,:;/(\-–]\s{{1,6}}(\d{{1,4}})$', 1)]) as int) as number from r where (a <= 4 or b <= 4) and length(z) <= 100),
+o as (select doc, page, page + 1 - number as "offset" from c where number > 0 and number < 5000),
+i as (select *, case when page - lag(page) over w <= 8 then 0 else 1 end as brk from o window w as (partition by doc, "offset" order by page)),
+g as (select *, sum(brk) over (partition by doc, "offset" order by page) as run from i), s as (select doc, "offset", min(page) as start, max(page) as "end", count(*) as hits from g group by doc, "offset", run)
+select * from s where (hits >= 3 and hits / ("end" - start + 1) >= 0.4) or ("offset" = 0 and "end" < 6 and hits / ("end" - start + 1) >= 0.5)""",
     }
