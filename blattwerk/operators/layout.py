@@ -323,19 +323,44 @@ def repaired_characters(chars: DataFrame, mapping: DataFrame) -> DataFrame:
     return chars.join(mapping.select("doc", "font", "code", F.col("text").alias("__m")), ["doc", "font", "code"], "left").withColumn("repaired", F.coalesce("__m", "text")).drop("__m")
 
 
+#: Known glyphs at most: they go to every task.
+MAX_REFERENCES = 65_536
+
+
 def glyph_votes(samples: DataFrame, references: DataFrame, least: float = 0.6, margin: float = 0.06) -> DataFrame:
     """``doc``, ``font``, ``code``, ``char``, ``score``: the reference glyph most like the samples.
 
-    ``samples`` and ``references`` have ``vec``, unit vectors; ``references`` is a table of
-    known glyphs whose number a font bounds. The mean over a glyph's samples
-    must reach ``least`` and beat the next by ``margin``.
+    ``samples`` and ``references`` have ``vec``, unit vectors of one length. The mean
+    likeness over a glyph's samples must reach ``least`` and beat the next by
+    ``margin``; it is the likeness of the mean, so samples are averaged first.
+    ``references`` is a table of known glyphs; one beyond MAX_REFERENCES is refused.
     """
-    dot = F.aggregate(F.zip_with("vec", "ref", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    refs = references.select("char", F.col("vec").alias("ref"))
-    scored = samples.crossJoin(F.broadcast(refs)).groupBy("doc", "font", "code", "char").agg(F.avg(dot).alias("score"))
-    w = Window.partitionBy("doc", "font", "code").orderBy(F.desc("score"), "char")
-    r = scored.withColumn("k", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return r.where((F.col("k") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("next") >= margin)).select("doc", "font", "code", "char", "score")
+    known = references.select("char", "vec").orderBy("char").limit(MAX_REFERENCES + 1).collect()
+    if len(known) > MAX_REFERENCES:
+        raise ValueError(f"more than {MAX_REFERENCES} reference glyphs")
+    chars = [r["char"] for r in known]
+    matrix = np.array([r["vec"] for r in known], dtype=float).reshape(len(known), -1)
+    keys = ["doc", "font", "code"]
+    parts = samples.select(*keys, F.posexplode("vec").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
+    means = parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
+
+    def vote(batches):
+        for pdf in batches:
+            if not len(pdf) or not chars:
+                yield pd.DataFrame({**{k: pdf[k][:0] for k in keys}, "char": [], "score": []})
+                continue
+            s = np.stack(pdf["vec"].to_numpy()) @ matrix.T
+            best = s.argmax(axis=1)  # of equal ones the first character
+            score = s[np.arange(len(s)), best]
+            s[np.arange(len(s)), best] = -np.inf
+            nxt = np.where(np.isinf(s.max(axis=1)), 0.0, s.max(axis=1))
+            ok = (score >= least) & (score - nxt >= margin)
+            out = pdf[keys].copy()
+            out["char"], out["score"] = [chars[b] for b in best], score
+            yield out[ok]
+
+    kinds = dict(samples.dtypes)
+    return means.mapInPandas(vote, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", char string, score double")
 
 
 def _doubled(pdf: pd.DataFrame) -> pd.DataFrame:

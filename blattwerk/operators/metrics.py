@@ -150,7 +150,7 @@ def overview(metrics: DataFrame, review: DataFrame) -> DataFrame:
         F.coalesce(F.sum("nur_pdf"), F.lit(0)).alias("p"), F.count_if(F.col("gedruckt") + F.col("nur_pdf") > 0).alias("mit_markern"),
     )
     waiting = review.agg(F.count("*").alias("pruefen"), F.count_if("bereit").alias("bereit"))
-    return done.crossJoin(waiting).select("fertig", "pruefen", "bereit", "seiten", F.try_divide("g", F.col("g") + F.col("p")).alias("gedruckt_anteil"), "mit_markern")
+    return done.withColumn("k", F.lit(1)).join(waiting.withColumn("k", F.lit(1)), "k").select("fertig", "pruefen", "bereit", "seiten", F.try_divide("g", F.col("g") + F.col("p")).alias("gedruckt_anteil"), "mit_markern")
 
 
 def complete_citations(metrics: DataFrame) -> DataFrame:
