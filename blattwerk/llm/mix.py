@@ -40,13 +40,13 @@ def source_plan(sizes: DataFrame, targets: DataFrame, percent: float) -> DataFra
     pass). Null shares count as 0, null caps as 1.
     """
     stock = sizes.groupBy("source").agg(F.sum("tokens").alias("vorrat"))
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("alles"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("alles")).first()["alles"]
     t = targets.select("source", F.coalesce("anteil", F.lit(0.0)).alias("anteil"), F.greatest(F.coalesce("max_wiederholungen", F.lit(1)), F.lit(0)).alias("hoechstens"))
-    p = t.join(stock, "source", "left").crossJoin(F.broadcast(total)).withColumn("vorrat", F.coalesce("vorrat", F.lit(0)))
-    p = p.withColumn("ziel", F.col("anteil") * F.col("alles") * percent / 100)
+    p = t.join(stock, "source", "left").withColumn("vorrat", F.coalesce("vorrat", F.lit(0)))
+    p = p.withColumn("ziel", F.col("anteil") * F.lit(total) * percent / 100)
     ganz = F.when(F.col("vorrat") == 0, 0).otherwise(F.least(F.floor(F.col("ziel") / F.col("vorrat")), F.col("hoechstens"))).cast("int")
     p = p.withColumn("ganz", ganz)
-    return p.withColumn("rest", F.when(F.col("ganz") < F.col("hoechstens"), F.col("ziel") - F.col("ganz") * F.col("vorrat")).otherwise(0.0)).drop("alles")
+    return p.withColumn("rest", F.when(F.col("ganz") < F.col("hoechstens"), F.col("ziel") - F.col("ganz") * F.col("vorrat")).otherwise(0.0))
 
 
 def select_documents(sizes: DataFrame, plan: DataFrame) -> DataFrame:
@@ -120,5 +120,6 @@ def shares(sizes: DataFrame, targets: DataFrame, percent: float) -> DataFrame:
     got = got.groupBy("source").agg(F.sum("t").alias("token"), F.sum("u").alias("verwendungen"), F.count("*").alias("dokumente"), F.max("u").alias("haeufigste"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("token", "verwendungen", "dokumente", "haeufigste")]
     out = plan.join(got, "source", "left").select("source", "anteil", F.round("ziel", 1).alias("ziel_token"), *zero)
-    total = out.agg(F.sum("token").alias("alles"))
-    return out.crossJoin(F.broadcast(total)).select("source", "anteil", "ziel_token", "token", F.round(F.try_divide("token", "alles"), 6).alias("ist_anteil"), "verwendungen", "dokumente", "haeufigste")
+    # one row per target source: a single window holds them
+    total = F.sum("token").over(Window.partitionBy(F.lit(1)))
+    return out.select("source", "anteil", "ziel_token", "token", F.round(F.try_divide(F.col("token"), total), 6).alias("ist_anteil"), "verwendungen", "dokumente", "haeufigste")
