@@ -34,7 +34,13 @@ SLICE = 256
 
 _BLOCK = re.compile(r"\n[ \t]*\n\s*")
 _QUOTE = re.compile(r"[„“«»‚‘\"][^„“”«»‚‘\"\n]{1,80}[“”«»’‘\"]")
-_PLAIN = re.compile(r"\s*(?:\||<!--|\$|```|~~~|!\[|[-=*_]{3,}\s*$)")
+#: What is no text, over several lines too: code, formulas, marks and pictures.
+_MARKUP = re.compile(
+    r"(?ms)^[ \t]*(```|~~~)(?:.*?\n[ \t]*\1[^\n]*$|(?:(?!\n[ \t]*\n).)*)"
+    r"|<!--(?:(?!\n[ \t]*\n).)*?-->|\$\$(?:(?!\n[ \t]*\n).)*?\$\$|!\[[^\]\n]*\]\([^)\n]*\)"
+)
+#: Lines without text: table rows, formulas, rules, and marks left open.
+_PLAIN = re.compile(r"\s*(?:\||<!--|\$[^$\n]*(?:\$[\s.,;:]*)?$|!\[|(?:[-=*]{3,}|_+)\s*$)")
 _HEADING = re.compile(r"(?m)^#{1,6} .*$")
 _NOISE = re.compile(r"\$[^$\n]*\$|<!--.*?-->|https?://\S+|[\d|#>*_`]+")
 
@@ -59,17 +65,23 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and cleaned text of the blocks that are text in a language.
 
     Blocks end at blank lines. Headings, tables, formulas and marks are left
-    out, and so is what has too few letters.
+    out line by line, and so is a block whose other lines have too few letters.
     """
     at = 0
+    text = _MARKUP.sub(lambda m: re.sub(r"[^\n]", "_", m[0]), text)
     for part in _BLOCK.split(text):
         start = text.find(part, at)
         at = start + len(part)
-        if not part.strip() or _PLAIN.match(part) or part.startswith("#") and "\n" not in part:
+        own, here = [], start
+        for line in part.split("\n"):
+            if line.strip() and not _PLAIN.match(line) and not _HEADING.match(line):
+                own.append((here, here + len(line), line))
+            here += len(line) + 1
+        if not own:
             continue
-        body = clean(_HEADING.sub("", part))
+        body = clean("\n".join(line for _, _, line in own))
         if sum(map(str.isalpha, body[: 4 * MIN_LETTERS])) >= MIN_LETTERS or sum(map(str.isalpha, body)) >= MIN_LETTERS:
-            yield start, at, body
+            yield own[0][0], own[-1][1], body
 
 
 def matrix(raws: list[bytes]) -> np.ndarray:

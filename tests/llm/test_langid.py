@@ -54,3 +54,13 @@ def test_held_out_accuracy_and_segments(spark, corpus, monkeypatch):
     share = {(r.doc_id, r.lang): r.anteil for r in L.document_languages(seg).collect()}
     assert abs(share[1, "de"] + share[1, "en"] - 1) < 1e-9
     assert L.segments(df.limit(0), net).count() == 0
+
+
+def test_prose_beside_marks_tables_and_formulas():
+    prose_line = "Die Welle überträgt das Drehmoment über eine Passfeder."
+    for first in ("<!-- Seite 3 (PDF 9) -->", "| a | b |\n| --- | --- |", "$F = 3$", "$$\nF = \\alpha\n$$", "## 2 Wellen", "![Bild](wellen.png)", "```\nfor word in words: print(word)\n\nreturn words\n```", "---"):
+        for text in (f"{first}\n{prose_line}", f"{prose_line}\n{first}"):
+            assert [(text[a:b], body) for a, b, body in L.blocks(text)] == [(prose_line, L.clean(prose_line))], text
+    assert [body for _, _, body in L.blocks(f"<!-- Seite 3 --> {prose_line}")] == [L.clean(prose_line)]
+    assert [body for _, _, body in L.blocks(f"$F$ {prose_line}")] == [L.clean(prose_line)]
+    assert not list(L.blocks("| Welle und Nabe | Drehmoment der Passfeder |\n<!-- Seite dreihundertundfünfundzwanzig -->"))
