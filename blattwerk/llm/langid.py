@@ -2,8 +2,9 @@
 
 Filters of several widths over embedded bytes, max pooling over a window of
 fixed length, and a softmax; trained in numpy on labelled text and applied to
-all windows of all texts in batches. A block of text takes the mean of its
-windows; neighbouring blocks of one language form a segment.
+all windows of all texts in batches. The lines of a block of text are parted
+where the language of their windows changes for good; such a part takes the mean
+of its windows, and neighbouring parts of one language form a segment.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ STEPS, BATCH, RATE = 500, 256, 0.006
 #: Letters that a block needs to count, and the confidence that a block in a
 #: language other than the main one needs.
 MIN_LETTERS, MIN_CONFIDENCE = 25, 0.7
+#: Nats that a change of language inside a block costs, after a line that ends a
+#: sentence and after another one, and the most that one window tells.
+CHANGE, CHANGE_WITHIN, WINDOW_TELLS = 2.5, 8.0, 5.0
 #: Windows to a batch.
 SLICE = 256
 
@@ -41,6 +45,7 @@ _MARKUP = re.compile(
 )
 #: Lines without text: table rows, formulas, rules, and marks left open.
 _PLAIN = re.compile(r"\s*(?:\||<!--|\$[^$\n]*(?:\$[\s.,;:]*)?$|!\[|(?:[-=*]{3,}|_+)\s*$)")
+_SENTENCE_END = re.compile(r"[.!?:…][\s\"'”“«»’)\]]*$")
 _HEADING = re.compile(r"(?m)^#{1,6} .*$")
 _NOISE = re.compile(r"\$[^$\n]*\$|<!--.*?-->|https?://\S+|[\d|#>*_`]+")
 
@@ -62,7 +67,14 @@ def clean(block: str) -> str:
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and cleaned text of the blocks that are text in a language.
+    """Start, end and cleaned text of the blocks that are text in a language."""
+    for lines in block_lines(text):
+        yield lines[0][0], lines[-1][1], " ".join(body for _, _, body, _ in lines)
+
+
+def block_lines(text: str) -> Iterator[list[tuple[int, int, str, bool]]]:
+    """Per block that is text in a language its lines: start, end, cleaned text,
+    and whether the line ends a sentence.
 
     Blocks end at blank lines. Headings, tables, formulas and marks are left
     out line by line, and so is a block whose other lines have too few letters.
@@ -77,11 +89,22 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
             if line.strip() and not _PLAIN.match(line) and not _HEADING.match(line):
                 own.append((here, here + len(line), line))
             here += len(line) + 1
-        if not own:
-            continue
-        body = clean("\n".join(line for _, _, line in own))
-        if sum(map(str.isalpha, body[: 4 * MIN_LETTERS])) >= MIN_LETTERS or sum(map(str.isalpha, body)) >= MIN_LETTERS:
-            yield own[0][0], own[-1][1], body
+        if len(own) > 1:
+            lines = [(a, b, body, bool(_SENTENCE_END.search(line))) for a, b, line in own if (body := clean(line))]
+        else:
+            lines = [(a, b, clean(line), True) for a, b, line in own]
+        if enough(body for _, _, body, _ in lines):
+            yield lines
+
+
+def enough(bodies: Iterator[str]) -> bool:
+    """Whether texts have the letters to count."""
+    n = 0
+    for body in bodies:
+        n += sum(map(str.isalpha, body[: 4 * MIN_LETTERS]))
+        if n >= MIN_LETTERS or (n := n + sum(map(str.isalpha, body[4 * MIN_LETTERS :]))) >= MIN_LETTERS:
+            return True
+    return False
 
 
 def matrix(raws: list[bytes]) -> np.ndarray:
@@ -233,21 +256,61 @@ def fit(documents: DataFrame) -> Network:
     return fit_rows(rows)
 
 
+def changes(tells: np.ndarray, costs: list[float]) -> list[int]:
+    """The likeliest language of each line, by Viterbi.
+
+    ``tells`` are the nats that each line gives each language, ``costs`` those
+    of a change before each line.
+    """
+    score, back = tells[0], []
+    for own, cost in zip(tells[1:], costs[1:]):
+        top = int(score.argmax())
+        stay = score >= score[top] - cost
+        back.append(np.where(stay, np.arange(len(score)), top))
+        score = np.where(stay, score, score[top] - cost) + own
+    path = [int(score.argmax())]
+    for come in reversed(back):
+        path.append(int(come[path[-1]]))
+    return path[::-1]
+
+
+def parts(lines: list[tuple[int, int, str, bool]], at: list[int], p: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Start, end, first and last window of the parts of a block in one language.
+
+    ``at`` has the first window of each line and the end. A part with too few
+    letters stays with its neighbour.
+    """
+    path = [0] * len(lines)
+    if len(lines) > 1 and len(set(p[at[0] : at[-1]].argmax(axis=1).tolist())) > 1:
+        tells = np.maximum(np.log(p[at[0] : at[-1]] + 1e-12), -WINDOW_TELLS)
+        tells *= np.repeat([min(1.0, len(body.encode("utf-8", "ignore")) / WINDOW) for _, _, body, _ in lines], np.diff(at))[:, None]
+        costs = [0.0, *(CHANGE if ends else CHANGE_WITHIN for _, _, _, ends in lines[:-1])]
+        path = changes(np.add.reduceat(tells, np.array(at[:-1]) - at[0], axis=0), costs)
+    first = 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or path[k] != path[k - 1] and enough(x[2] for x in lines[first:k]) and enough(x[2] for x in lines[k:]):
+            yield lines[first][0], lines[k - 1][1], at[first], at[k]
+            first = k
+
+
 def classify(texts: list[str], net: Network, tables: list[list[np.ndarray]] | None = None) -> list[list[tuple[int, int, str, float]]]:
     """Per text its segments: start, end, language, confidence."""
     raws: list[bytes] = []
-    spans: list[tuple[int, int, int, int, int]] = []
+    spans: list[tuple[int, list[tuple[int, int, str, bool]], list[int]]] = []
     for n, text in enumerate(texts):
-        for a, b, body in blocks(text or ""):
-            w = windows(body)
-            spans.append((n, a, b, len(raws), len(raws) + len(w)))
-            raws += w
+        for lines in block_lines(text or ""):
+            at = [len(raws)]
+            for _, _, body, _ in lines:
+                raws += windows(body)
+                at.append(len(raws))
+            spans.append((n, lines, at))
     p = net.probabilities(matrix(raws), tables) if raws else None
     out: list[list] = [[] for _ in texts]
-    for n, a, b, i, j in spans:
-        mean = p[i:j].mean(axis=0)
-        k = int(mean.argmax())
-        out[n].append((a, b, net.languages[k], float(mean[k]), j - i))
+    for n, lines, at in spans:
+        for a, b, i, j in parts(lines, at, p):
+            mean = p[i:j].mean(axis=0)
+            k = int(mean.argmax())
+            out[n].append((a, b, net.languages[k], float(mean[k]), j - i))
     return [merge(s) for s in out]
 
 

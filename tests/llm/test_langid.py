@@ -64,3 +64,17 @@ def test_prose_beside_marks_tables_and_formulas():
     assert [body for _, _, body in L.blocks(f"<!-- Seite 3 --> {prose_line}")] == [L.clean(prose_line)]
     assert [body for _, _, body in L.blocks(f"$F$ {prose_line}")] == [L.clean(prose_line)]
     assert not list(L.blocks("| Welle und Nabe | Drehmoment der Passfeder |\n<!-- Seite dreihundertundfünfundzwanzig -->"))
+
+
+def test_language_changes_at_a_single_newline(corpus):
+    rng = random.Random(4)
+    net = L.fit_rows([(k, t) for _, t, k in corpus])
+    de, en, fr = (prose(k, 5, rng) for k in ("de", "en", "fr"))
+    wrapped = "\n".join(de[i : i + 70] for i in range(0, len(de), 70))
+    text = f"{wrapped}\n{en}\n{de}"
+    cut = (text.index(en), text.index(en) + len(en))
+    texts = [text, f"{fr}\n{en}", wrapped, f"{de}\n{en}\n{wrapped}\n{fr}"]
+    got = L.classify(texts, net)
+    assert [[g[2] for g in own] for own in got] == [["de", "en", "de"], ["fr", "en"], ["de"], ["de", "en", "de", "fr"]]
+    assert got[0][1][:2] == cut
+    assert text[slice(*got[0][0][:2])] == wrapped
