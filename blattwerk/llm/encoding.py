@@ -6,7 +6,8 @@ characters beside ASCII and its unknown words are charged what they cost in
 that language. The chain with the least description length including its own
 cost wins; if no chain saves ``MIN_GAIN`` bytes, or ``MIN_GAIN_ODD`` where the
 result has no known word and no usual characters either, the line stays as it
-is. A line that folding look-alike characters shortens as much isn't garbled,
+is. Where all characters of a line are usual ones, the changed parts have to be
+known words. A line that folding look-alike characters shortens as much isn't garbled,
 only written otherwise.
 """
 
@@ -40,8 +41,8 @@ USUAL = frozenset(
     "äöüßÄÖÜéèêëàâçîïôûùœæÉÈÊÀÂÇÎÔÛáíóúñÁÍÓÚÑ¿¡ìòÌÒąćęłńśźżĄĆĘŁŃŚŹŻĳ"
     "°²³µ§±×·½¼¾–—‘’‚“”„…«»‹›€†•øØåÅΩ\xa0\xad"
 )
-#: Lines whose characters are all ASCII or among these are never examined:
-#: none of them comes out of a wrong decoding alone.
+#: Characters that are usual in text in order. Wrong decodings give some of them
+#: too ("Hènde", "schÜn"), so lines of these alone are examined as well.
 PLAIN = "äöüßÄÖÜéèêàâçîïôûùœëÉ°²–"
 #: Encodings that text was wrongly read with, by what it truly was in.
 WRONG_FOR = {
@@ -59,13 +60,14 @@ CHAINS = [((w, r),) for r, ws in WRONG_FOR.items() for w in ws] + [
 NAMES = [">".join(f"{r}/{w}" for w, r in chain) for chain in CHAINS]
 LOST = "\ufffd"
 WORD = re.compile("[^\\W\\d_\ufffd]+(?:[-\u2013\ufffd]*[^\\W\\d_]+)*|\ufffd[^\\W\\d_\ufffd][^\\W\\d_]*(?:[-\u2013\ufffd]*[^\\W\\d_]+)*")
+_SIGN_IN_WORD = re.compile(r"[°²][^\W\d_]{2}")
 #: What a lost character may have been.
 LOST_FOR = "äöüßÄÖÜéèêàçîôûï°²–ñóáíłżęąśćń"
 
 
 def suspicious(text: Column) -> Column:
-    """Rows worth examining: a character beside ASCII and the plain ones."""
-    return text.rlike(f"[^\\x00-\\x7f{PLAIN}]")
+    """Rows worth examining: those with a character beside ASCII."""
+    return text.rlike(r"[^\x00-\x7f]")
 
 
 def byte_table(codec: str) -> dict[str, int]:
@@ -109,6 +111,23 @@ class Decoder:
             self.chars, self.words = {"und": dict.fromkeys(PLAIN, 1.0)}, {"und": set()}
         self.bytes = {c: byte_table(c) for c in {w for ws in WRONG_FOR.values() for w in ws}}
         self.memo: dict[str, dict[int, str]] = {}
+        self.orderly: dict[str, bool] = {}
+
+    def plain(self, text: str) -> bool:
+        """Whether ``text`` has no character beside ASCII and the plain ones
+        except in known words: such text is in order."""
+        for t in text.split(" "):
+            if t.isascii():
+                continue
+            if t not in self.orderly:
+                if len(self.orderly) > 200_000:
+                    self.orderly.clear()
+                words = [w for w in WORD.findall(t.lower()) if not w.isascii()]
+                usual = all(c < "\x80" or c in PLAIN for c in t) and not _SIGN_IN_WORD.search(t)
+                self.orderly[t] = usual and (all(any(w in own for own in self.words.values()) for w in words) or not self.results(t))
+            if not self.orderly[t]:
+                return False
+        return True
 
     def size(self, text: str, lang: str) -> float:
         cost = self.chars[lang]
@@ -127,6 +146,12 @@ class Decoder:
             return True
         return "utf-8" in chain and all(c <= "\x7f" or c in self.chars[lang] or c in PLAIN or c == "\xad" for b in changed for c in b)
 
+    def words_found(self, old: str, new: str) -> bool:
+        """Whether all changed parts are words of one language now. Nothing less
+        tells a wrong decoding where all characters are usual ones."""
+        changed = [b for a, b in zip(old.split(" "), new.split(" ")) if a != b]
+        return any(all(self.known(b, lang) for b in changed) for lang in self.words)
+
     def language(self, text: str) -> str:
         """The language whose dictionary compresses the ASCII part best."""
         if len(self.comp) == 1:
@@ -208,6 +233,8 @@ class Decoder:
         if text.isascii():
             return None
         lost = LOST in text
+        if not lost and self.plain(text):
+            return None
         found = list(self.candidates(text))
         if not found and not lost:
             return ("lost", text, 0.0) if any("\x80" <= c < "\xa0" and c != "\x85" for c in text) else None
@@ -216,7 +243,10 @@ class Decoder:
         if (same := self.fold(text)) != text:
             old = min(old, self.size(same, lang))
         seen: dict[str, float] = {}
+        usual = all(c <= "\x7f" or c in PLAIN for c in text)
         for name, new, cost in found:
+            if usual and not self.words_found(text, new):
+                continue
             if new not in seen:
                 seen[new] = self.size(new, lang)
             total = seen[new] + cost

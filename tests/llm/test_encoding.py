@@ -38,3 +38,16 @@ def test_without_labels(spark, documents):
     d = E.Decoder(none)
     assert d.examine("alles in Ordnung") is None
     assert d.examine(garble(TEXT, "utf-8", "cp1252"))[1] == TEXT
+
+
+def test_garbled_into_usual_characters_only(spark, documents):
+    model = E.fit(documents)
+    text = "Deshalb muss der Prüfer größere Kräfte vermeiden."
+    french = "le contrôleur évite des efforts élevés et la lubrification suffit après peu de temps"
+    garbled = [("deshalb muss die Welle Kräfte vermeiden und das Drehmoment Kräfte", "mac_roman", "cp850"), ("le contrôleur évite des efforts élevés et la lubrification suffit", "mac_roman", "cp437")]
+    bad = [(t, garble(t, r, w)) for t, r, w in garbled]
+    assert all(c < "\x80" or c in E.PLAIN for _, b in bad for c in b)
+    fine = [text, french, "eine Brücke bei 20 °C und 3 m² – größer", "Höchstgrößenänderungsmaß"]
+    df = spark.createDataFrame(list(enumerate([b for _, b in bad] + fine)), "id int, text string")
+    got = {r.id: r.restored for r in E.examine(df, model, ["id"]).collect()}
+    assert got == {i: t for i, (t, _) in enumerate(bad)}
