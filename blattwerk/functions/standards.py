@@ -42,18 +42,44 @@ def header_counts(lines: DataFrame, edge: int = 3) -> DataFrame:
     return near.withColumn("h", matched(F.col("line"), HEADER)).where("h is not null").groupBy("doc", "h").agg(F.countDistinct("page").alias("pages"), F.min("page").alias("first"))
 
 
-def recognised(docs: DataFrame, lines: DataFrame) -> DataFrame:
+# Months, a number by itself, a date on a cover, pages of a cover, share of pages.
+MONTHS = ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember")
+ALONE = rf"^({NUMBER})(?:\s+[A-Z])?\s*$"
+COVER_DATE = rf"(?iU)(?:^|\s)({'|'.join(MONTHS)})\s+((?:19|20)\d\d)\b"
+COVER, HEADER_SHARE = 4, 0.25
+
+
+def recognised(docs: DataFrame, lines: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """``doc``, ``norm``, ``quelle``: the standard that each document is, if it is one.
 
-    By its most frequent header of two pages, a reference number, or the name of
-    its file, in this order. ``docs`` has ``doc`` and ``name``.
+    In this order: its most frequent header, if it stands on two pages and on a
+    quarter of the pages with text or first on one of the cover pages; a
+    reference number there; its first bookmark, by itself or with the first date
+    of the first two pages; the name of its file. Of equally frequent headers
+    the one that stands first counts. ``docs`` has ``doc`` and ``name``, ``outline`` ``doc``,
+    ``page``, ``pos``, ``title``.
     """
-    head = header_counts(lines).where("pages >= 2").groupBy("doc").agg(F.max_by("h", F.struct("pages", -F.col("first"))).alias("kopf"))
-    ref = lines.where("page < 4").withColumn("r", matched(F.col("line"), REFERENCE)).where("r is not null").groupBy("doc").agg(F.min_by("r", F.struct("page", "pos")).alias("ref"))
+    full = lines.where(strip(F.col("line")) != "").groupBy("doc").agg(F.countDistinct("page").alias("full"))
+    head = header_counts(lines).groupBy("doc").agg(F.max_by(F.struct("h", "pages", "first"), F.struct("pages", -F.col("first"), "h")).alias("x")).join(full, "doc")
+    often = (F.col("x.pages") >= F.greatest(F.lit(2.0), HEADER_SHARE * F.col("full"))) | ((F.col("x.pages") >= 2) & (F.col("x.first") < COVER))
+    head = head.where(often).select("doc", F.col("x.h").alias("kopf"))
+    ref = lines.where(F.col("page") < COVER).withColumn("r", matched(F.col("line"), REFERENCE)).where("r is not null").groupBy("doc").agg(F.min_by("r", F.struct("page", "pos")).alias("ref"))
+    j = docs.join(head, "doc", "left").join(ref, "doc", "left")
+    if outline is None:
+        j = j.withColumn("zeichen", F.lit(None).cast("string")).withColumn("datum", F.lit(None).cast("struct<monat:string,jahr:string>"))
+    else:
+        date = F.struct(F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract("line", COVER_DATE, 1))).cast("string"), 2, "0").alias("monat"), F.regexp_extract("line", COVER_DATE, 2).alias("jahr"))
+        dates = lines.where((F.col("page") < 2) & F.col("line").rlike(COVER_DATE)).groupBy("doc").agg(F.min_by(date, F.struct("page", "pos")).alias("datum"))
+        first = outline.groupBy("doc").agg(F.min_by("title", F.struct("page", "pos")).alias("zeichen"))
+        j = j.join(first, "doc", "left").join(dates, "doc", "left")
+    dated = F.when(F.col("zeichen").rlike(ALONE) & F.col("datum").isNotNull(), F.struct(F.lit(False).alias("entwurf"), normal_number(F.regexp_extract("zeichen", ALONE, 1)).alias("nummer"), F.col("datum.jahr").alias("jahr"), F.col("datum.monat").alias("monat")))
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    j = docs.join(head, "doc", "left").join(ref, "doc", "left").withColumn("datei", matched(stem, FILE)).withColumn("frei", matched(stem, FREE_FILE))
-    source = F.when(F.col("kopf").isNotNull(), "Kopfzeile").when(F.col("ref").isNotNull(), "Ref.-Nr.").when(F.col("datei").isNotNull(), "Dateiname").when(F.col("frei").isNotNull(), "freier Dateiname")
-    return j.select("doc", F.coalesce("kopf", "ref", "datei", "frei").alias("norm"), source.alias("quelle")).where("norm is not null")
+    ways = {
+        "Kopfzeile der Norm": F.col("kopf"), "Ref.-Nr. auf der Titelseite": F.col("ref"), "Lesezeichen der Norm": matched(F.col("zeichen"), HEADER),
+        "Lesezeichen und Datum auf dem Deckblatt": dated, "Dateiname (Normen-Download)": matched(stem, FILE), "Dateiname": matched(stem, FREE_FILE),
+    }
+    hits = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(c.alias("norm"), F.lit(q).alias("quelle"))) for q, c in ways.items()]))
+    return j.select("doc", F.get(hits, F.lit(0)).alias("x")).where("x is not null").select("doc", "x.norm", "x.quelle")
 
 
 def cover_titles(lines: DataFrame, tolerance: float = 0.6) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blattwerk.functions.text import log_time, plausible_seconds
+from blattwerk.session import carried
 
 # What the statuses of the log mean.
 KIND = {
@@ -26,14 +30,20 @@ def kind(status: Column) -> Column:
     return F.try_element_at(table, status)
 
 
+def named() -> Column:
+    """The name that a row of the log speaks of: new name, stem of the text file, original name."""
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce("md_pfad", F.lit("")), r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif("neuer_name", F.lit("")), F.nullif(stem, F.lit("")), "original_name")
+
+
 def with_pages(log: DataFrame, pages: DataFrame) -> DataFrame:
-    """``log`` with ``seiten``, looked up by the new name, else by the original one.
+    """``log`` with ``seiten``, looked up by the row's name, else by the original one.
 
     ``pages`` has ``name`` and ``seiten``, one row a name.
     """
-    new = pages.select(F.col("name").alias("neuer_name"), F.col("seiten").alias("__neu"))
+    new = pages.select(F.col("name").alias("__name"), F.col("seiten").alias("__neu"))
     old = pages.select(F.col("name").alias("original_name"), F.col("seiten").alias("__alt"))
-    return log.join(new, "neuer_name", "left").join(old, "original_name", "left").withColumn("seiten", F.coalesce("__neu", "__alt")).drop("__neu", "__alt")
+    return log.withColumn("__name", named()).join(new, "__name", "left").join(old, "original_name", "left").withColumn("seiten", F.coalesce("__neu", "__alt")).drop("__name", "__neu", "__alt")
 
 
 def run_summary(log: DataFrame) -> DataFrame:
@@ -64,26 +74,32 @@ def run_summary(log: DataFrame) -> DataFrame:
 def step_durations(log: DataFrame, order: str) -> DataFrame:
     """Each conversion with the seconds since the step before it in its run.
 
-    The first step counts from the run's start. Rows whose time can't be read
-    neither count nor advance the clock. ``order`` breaks ties of equal times.
+    ``order``, ``name``, ``lauf``, ``art``, ``status``, ``sekunden``, ``seiten``. Rows stand in the
+    order of ``zeit`` as text, then of ``order``, which is unique. The first step
+    counts from the run's start. A row whose time can't be read has null seconds
+    and doesn't advance the clock. ``log`` has ``seiten`` as ``with_pages`` gives it.
     """
-    t = log.withColumn("art", kind(F.col("status"))).withColumn("t", log_time(F.col("zeit"))).where("art is not null and t is not null")
-    w = Window.partitionBy("lauf", "art").orderBy("t", order)
-    before = F.coalesce(F.lag("t").over(w), log_time(F.col("lauf")))
-    t = t.withColumn("sekunden", plausible_seconds(F.col("t").cast("long") - before.cast("long")))
-    return t.where(F.col("status").isin(*CONVERSIONS)).select(order, "lauf", "art", "status", "sekunden")
+    t = log.select(
+        F.col(order), named().alias("name"), "lauf", kind(F.col("status")).alias("art"), "status", F.coalesce("zeit", F.lit("")).alias("zeit"),
+        log_time(F.col("zeit")).cast("long").alias("t"), "seiten",
+    ).where("art is not null")
+    t = carried(t, ["lauf", "art"], ["zeit", order], "t", "before")
+    since = F.col("t") - F.coalesce("before", log_time(F.col("lauf")).cast("long"))
+    return t.where(F.col("status").isin(*CONVERSIONS)).select(order, "name", "lauf", "art", "status", plausible_seconds(since).alias("sekunden"), "seiten")
 
 
 def undo_plan(log: DataFrame, order: str) -> DataFrame:
     """The steps of the last run that may be undone and wasn't yet, last first.
 
-    A run is undone once the log has a row of status RÜCKGÄNGIG that names it in
-    ``hinweis``. Steps without both paths are left out.
+    Only rows with run, status and both paths count. A run is undone once a row
+    of status RÜCKGÄNGIG belongs to it; the last run is that of the last row, by
+    ``order``, that may be undone.
     """
-    undone = log.where("status = 'RÜCKGÄNGIG'").select(F.col("hinweis").alias("lauf")).distinct()
-    open_runs = log.where(F.col("status").isin(*UNDOABLE)).join(undone, "lauf", "left_anti")
-    last = open_runs.agg(F.max("lauf").alias("lauf"))
-    steps = open_runs.join(F.broadcast(last), "lauf").where("von_pfad <> '' and nach_pfad <> ''")
+    whole = log.where(" and ".join(f"coalesce({c}, '') <> ''" for c in ("lauf", "status", "von_pfad", "nach_pfad")))
+    undone = whole.where("status = 'RÜCKGÄNGIG'").select("lauf").distinct()
+    open_rows = whole.where(F.col("status").isin(*UNDOABLE)).join(undone, "lauf", "left_anti")
+    last = open_rows.agg(F.max_by("lauf", order).alias("lauf"))
+    steps = open_rows.join(F.broadcast(last), "lauf")
     return steps.select(order, "lauf", "status", F.col("nach_pfad").alias("von"), F.col("von_pfad").alias("nach")).orderBy(F.desc(order))
 
 
@@ -103,8 +119,33 @@ def ring(events: DataFrame, number: str, size: int = 3000) -> DataFrame:
     return events.orderBy(F.desc(number)).limit(size)
 
 
-def throttled(events: DataFrame, key: str, time: str, order: str, seconds: float = 0.2) -> DataFrame:
-    """Events of a key that come ``seconds`` after the one before, and each last one."""
-    w = Window.partitionBy(key).orderBy(time, order)
-    gap = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(w)
-    return events.withColumn("__g", gap).withColumn("__n", F.lead(order).over(w)).where(F.col("__g").isNull() | (F.col("__g") >= seconds) | F.col("__n").isNull()).drop("__g", "__n")
+def throttled(events: DataFrame, key: str, time: str, order: str, seconds: float = 0.2, phase: str | None = None, last: str | None = None) -> DataFrame:
+    """Events of a key that are ``seconds`` or more after the last one *sent*.
+
+    A change of ``phase`` and a row where ``last`` is true are always sent.
+    Equal times stand by ``order``, which is unique. Events between which the
+    state can't matter (a wide gap, a new phase, a last one) begin runs; each
+    run is a stream of its own with one number of state, so a key with a third
+    of all events is many runs. Rows with null time are left out.
+    """
+    e = events.where(F.col(time).isNotNull()).withColumn("__t", F.col(time).cast("double"))
+    now = F.struct("__t", (F.col(phase) if phase else F.lit(None).cast("string")).alias("p"))
+    e = carried(e.withColumn("__now", now), [key], ["__t", order], "__now", "__was")
+    fresh = F.col("__was").isNull() | (F.col("__t") - F.col("__was.__t") >= seconds) | ~F.col("__now.p").eqNullSafe(F.col("__was.p"))
+    if last:
+        fresh = fresh | F.coalesce(F.col(last), F.lit(False))
+    e = e.withColumn("__run", F.when(fresh, F.struct("__t", F.col(order).alias("o")))).drop("__was", "__now")
+    e = carried(e, [key], ["__t", order], "__run", "__open").withColumn("__start", F.coalesce("__run", "__open"))
+    laid = e.withColumn("__first", F.col("__run").isNotNull()).drop("__run", "__open").repartition(key, "__start").sortWithinPartitions(key, "__start", "__t", order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = 0.0
+        for batch in batches:
+            keep = []
+            for t, first in zip(batch.column("__t").to_pylist(), batch.column("__first").to_pylist()):
+                send = first or t - sent >= seconds
+                sent = t if send else sent
+                keep.append(send)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return laid.mapInArrow(run, laid.schema).select(*events.columns)

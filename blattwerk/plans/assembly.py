@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from blattwerk.config import settings
 from blattwerk.functions import citations, text
 from blattwerk.operators import metrics, pages
-from blattwerk.session import cut
+from blattwerk.session import cut, salted_left_join
 from blattwerk.sources.readers import SUFFIXES
 
 
 def assembled(lines: DataFrame, outline: DataFrame | None = None, labels: DataFrame | None = None, config: Mapping[str, Any] | None = None) -> DataFrame:
-    """``doc``, ``text``: cleaned pages with markers, headings and joins over page turns.
+    """``doc``, ``page``, ``text``: cleaned pages with markers, headings and joins over page turns.
 
-    A stage that is switched off never enters the plan. ``outline`` has ``doc``,
+    Put together in order the rows are the document, see ``pages.whole_documents``. A stage that is switched off never enters the plan. ``outline`` has ``doc``,
     ``page``, ``pos``, ``level``, ``title``; ``labels`` ``doc``, ``page``, ``label``.
     """
     c = config or settings()
@@ -42,7 +42,9 @@ def assembled(lines: DataFrame, outline: DataFrame | None = None, labels: DataFr
     parts = F.transform(F.sort_array(F.collect_list(F.struct("absatz", "text"))), lambda x: x["text"])
     page = paras.groupBy("doc", "page").agg(F.array_join(parts, "\n\n").alias("text")).join(printed, ["doc", "page"], "left")
     if not c["text.seitenmarker"]:
-        return pages.pages_to_text(page)
+        first = page.where("text <> ''").groupBy("doc").agg(F.min("page").alias("__first"))
+        lead = F.when(F.col("page") == F.col("__first"), "").otherwise("\n\n")
+        return salted_left_join(page.where("text <> ''"), first, ["doc"], 16, F.col("page")).select("doc", "page", F.concat(lead, "text").alias("text"))
     return pages.join_pages(page)
 
 

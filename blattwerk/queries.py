@@ -13,7 +13,8 @@ from blattwerk.session import table
 
 def book_lines(spark: SparkSession, d: str) -> DataFrame:
     """The latest reading of each line as ``doc``, ``page``, ``pos``, ``line``; null lines left out."""
-    z = table(spark, d, "zeilen").groupBy("buch_id", "seite", "pos").agg(F.max_by("text", F.struct("gelesen_am", "zeile_id")).alias("line"))
+    # laid out by page, as what follows is by page: the lines are shuffled once
+    z = table(spark, d, "zeilen").select("zeile_id", "buch_id", "seite", "pos", "text", "gelesen_am").repartition("buch_id", "seite").groupBy("buch_id", "seite", "pos").agg(F.max_by("text", F.struct("gelesen_am", "zeile_id")).alias("line"))
     return z.where("line is not null").select(F.col("buch_id").alias("doc"), F.col("seite").alias("page"), "pos", "line")
 
 
@@ -136,11 +137,16 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def step_durations(spark: SparkSession, d: str) -> DataFrame:
-    return log.step_durations(table(spark, d, "protokoll"), "eintrag_nr")
+    return log.step_durations(paged_log(spark, d), "eintrag_nr")
 
 
 def undo_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return log.undo_plan(table(spark, d, "protokoll"), "eintrag_nr")
+    """The latest three runs are undone here, the fourth only says so in a note."""
+    p = table(spark, d, "protokoll").select("eintrag_nr", "lauf", "status", "von_pfad", "nach_pfad", "hinweis")
+    steps = p.where(F.col("status").isin(*log.UNDOABLE) & (F.col("von_pfad") != "") & (F.col("nach_pfad") != ""))
+    last = steps.groupBy("lauf").agg(F.max("eintrag_nr").alias("nr")).orderBy(F.desc("nr")).limit(4).withColumn("k", F.row_number().over(Window.orderBy(F.desc("nr"))))
+    back = steps.join(F.broadcast(last), "lauf").withColumns({"eintrag_nr": F.col("eintrag_nr") + 1_000_000_000, "hinweis": F.col("lauf"), "status": F.lit("RÜCKGÄNGIG"), "von_pfad": F.when(F.col("k") < 4, F.col("nach_pfad")).otherwise(""), "nach_pfad": F.col("von_pfad")})
+    return log.undo_plan(p.unionByName(back.select(*p.columns)), "eintrag_nr")
 
 
 def latest_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -266,13 +272,14 @@ def view_before(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     buy = e.where("event_type = 'purchase'").select(F.col("user_id").alias("doc"), at.alias("at"))
-    view = e.where("event_type = 'view'").select(F.col("user_id").alias("doc"), at.alias("at"), F.col("event_id").cast("int").alias("page"))
+    view = e.where("event_type = 'view'").select(F.col("user_id").alias("doc"), at.alias("at"), F.col("event_id").alias("page"))
     return pages.marker_before(buy, view)
 
 
 def throttled_events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return log.throttled(e, "user_id", "t", "event_id", 3600.0).select("event_id")
+    """A user's events no more than once a day, but each change between errors and others."""
+    e = table(spark, d, "events").withColumns({"t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "phase": (F.col("event_type") == "error").cast("string")})
+    return log.throttled(e, "user_id", "t", "event_id", 86400.0, "phase").select("event_id")
 
 
 def events_after(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +303,7 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assembled_text(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assembled(book_lines(spark, d), outline_source(spark, d)).select("doc", "text")
+    return assembly.assembled(book_lines(spark, d), outline_source(spark, d))
 
 
 def outline_source(spark: SparkSession, d: str) -> DataFrame:
@@ -348,6 +355,7 @@ when contains({q}, 'Norm') or starts_with(trim({q}), 'Ausgabe ') then 'Norm' whe
 when trim({q}) = 'PDF-Metadaten' then 'PDF-Metadaten' when starts_with(trim({q}), 'manuell') then 'von Hand' else 'Dokument' end"""
 _KIND = """case when status in ('OK', 'PRÜFEN', 'FEHLER', 'NACHGEBESSERT') then 'Umwandlung' when status = 'TEXT_ERNEUERT' then 'Text erneuert'
 when status = 'UMBENANNT' then 'Umbenannt' when status = 'RÜCKGÄNGIG' then 'Rückgängig' end"""
+_NAME = r"coalesce(nullif(neuer_name, ''), nullif(regexp_replace(regexp_extract(md_pfad, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), ''), original_name)"
 _T = "try_strptime({0}, '%Y-%m-%d %H:%M:%S')"
 _CONV = "status in ('OK', 'PRÜFEN', 'FEHLER', 'TEXT_ERNEUERT')"
 _FIGURES = r"""figures as (select doc_id, len(regexp_extract_all(t, '<!-- Seite \S+ \(PDF \d+\) -->')) as gedruckt,
@@ -364,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
         "page_sizes": f"with {_LINES} select doc, page, count(*) as n_lines, sum(length(line))::bigint as n_chars from lines where line is not null group by all",
         "running_lines": rf"""with {_LINES}, filled as (select * from lines where line is not null and {strip("line")} <> ''),
 ends as (select doc, page, arg_min(line, pos) as a, arg_max(line, pos) as b from filled group by all),
-keys as (select distinct doc, page, unnest([regexp_replace({strip("a")}, '[0-9]', '#', 'g'), regexp_replace({strip("b")}, '[0-9]', '#', 'g')]) as key from ends),
+keys as (select distinct doc, page, unnest([regexp_replace({strip("a")}, '[0-9]+', '#', 'g'), regexp_replace({strip("b")}, '[0-9]+', '#', 'g')]) as key from ends),
 need as (select doc, least(8, greatest(3, ceil(count(*) * 0.6))) as need from ends group by doc)
 select doc, key from (select doc, key, count(*) as n from keys group by all) join need using (doc) where n >= need and length(key) between 5 and 300
 and not regexp_matches(key, '(?i)^(?:aufgabe|beispiel|übung|abb|abbildung|tab|tabelle|lösung|figure|example|exercise|problem|gleichung)(?:[^\p{{L}}\p{{N}}_]|$)')
@@ -379,17 +387,20 @@ select doc, line, 'weg' as art from a where (doc, line) not in (select doc, line
         "body_sizes": """with s as (select buch_id as doc, round(groesse * 2) / 2 as b, sum(length(text)) as n from zeilen where text is not null and groesse is not null group by all)
 select doc, arg_max(b, (n, b)) as body from s group by doc""",
         "run_summary": f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
-l as (select p.*, coalesce(a.seiten, b.seiten) as s, {_KIND} as art from protokoll p left join size a on a.name = p.neuer_name left join size b on b.name = p.original_name),
+l as (select p.*, coalesce(a.seiten, b.seiten) as s, {_KIND} as art from protokoll p left join size a on a.name = {_NAME} left join size b on b.name = p.original_name),
 g as (select lauf, art, count(*) filter (art not in ('Umwandlung', 'Text erneuert') or {_CONV}) as dateien, count(*) filter (status in ('OK', 'TEXT_ERNEUERT')) as ok,
 count(*) filter (status = 'PRÜFEN') as pruefen, count(*) filter (status = 'FEHLER') as fehler, count(*) filter (status = 'NACHGEBESSERT') as nachgebessert,
 max({_T.format("zeit")}) filter ({_CONV}) as ende, sum(coalesce(s, 0)) filter ({_CONV}) as s from l where art is not null group by all),
 h as (select *, epoch(ende)::bigint - epoch({_T.format("lauf")})::bigint as d from g), i as (select *, case when d between 0 and 21600 then d::int end as sekunden, nullif(s, 0)::bigint as seiten from h)
 select lauf, art, dateien, ok, pruefen, fehler, nachgebessert, sekunden, seiten, case when sekunden > 0 then round_even(seiten * 60 / sekunden, 1) end as seiten_je_minute from i""",
-        "step_durations": f"""with t as (select *, {_KIND} as art, {_T.format("zeit")} as t from protokoll where {_KIND} is not null and {_T.format("zeit")} is not null),
-w as (select *, epoch(t)::bigint - epoch(coalesce(lag(t) over (partition by lauf, art order by t, eintrag_nr), {_T.format("lauf")}))::bigint as d from t)
-select eintrag_nr, lauf, art, status, case when d between 0 and 21600 then d::int end as sekunden from w where {_CONV}""",
-        "undo_candidates": """with o as (select * from protokoll where status in ('OK', 'PRÜFEN', 'NACHGEBESSERT', 'UMBENANNT') and lauf not in (select hinweis from protokoll where status = 'RÜCKGÄNGIG'))
-select eintrag_nr, lauf, status, nach_pfad as von, von_pfad as nach from o where lauf = (select max(lauf) from o) and von_pfad <> '' and nach_pfad <> '' order by eintrag_nr desc""",
+        "step_durations": f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
+t as (select *, {_KIND} as art, {_T.format("zeit")} as t, {_NAME} as name from protokoll where {_KIND} is not null),
+w as (select *, epoch(t)::bigint - epoch(coalesce(last_value(t ignore nulls) over (partition by lauf, art order by zeit, eintrag_nr rows between unbounded preceding and 1 preceding), {_T.format("lauf")}))::bigint as d from t)
+select eintrag_nr, w.name, lauf, art, status, case when d between 0 and 21600 then d::int end as sekunden, coalesce(a.seiten, b.seiten) as seiten from w
+left join size a on a.name = w.name left join size b on b.name = w.original_name where {_CONV}""",
+        "undo_candidates": """with s as (select * from protokoll where status in ('OK', 'PRÜFEN', 'NACHGEBESSERT', 'UMBENANNT') and von_pfad <> '' and nach_pfad <> '' and lauf <> ''),
+k as (select lauf, row_number() over (order by max(eintrag_nr) desc) as k from s group by lauf qualify k <= 3), o as (select * from s where lauf not in (select lauf from k))
+select eintrag_nr, lauf, status, nach_pfad as von, von_pfad as nach from o where lauf = (select arg_max(lauf, eintrag_nr) from o) order by eintrag_nr desc""",
         "latest_runs": f"select lauf, {_KIND} as art, count(*) as zeilen from protokoll where {_KIND} is not null group by all order by lauf desc, art limit 24",
         "provenance": f"with {_BOOKS}, x as (" + " union all ".join(f"select '{f}' as feld, case when coalesce({f}, '') = '' then 'fehlt' else {_QUELLE.format(q=f + '_quelle')} end as kategorie from books" for f in ("titel", "autor", "jahr")) + ") select feld, kategorie, count(*) as anzahl from x group by all",
         "review_reasons": f"""with {_BOOKS}, x as (select buch_id, unnest(string_split(pruefen, ';')) as g, generate_subscripts(string_split(pruefen, ';'), 1) as p from books where pruefen is not null)
@@ -417,10 +428,12 @@ select kopf_id, titel, row_number() over (partition by lower(titel) order by kop
 w as (select *, max(hi) over (partition by l_suppkey order by lo, hi rows between unbounded preceding and 1 preceding) as reach from s),
 g as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by l_suppkey order by lo, hi rows unbounded preceding) as k from w)
 select l_suppkey, min(lo) as lo, max(hi) as hi, count(*) as teile from g group by l_suppkey, k""",
-        "view_before": """with v as (select user_id, epoch_us(ts) as at, max(event_id)::int as page from events where event_type = 'view' group by all)
+        "view_before": """with v as (select user_id, epoch_us(ts) as at, max(event_id) as page from events where event_type = 'view' group by all)
 select b.user_id as doc, epoch_us(b.ts) as at, v.page from events b asof left join v on v.user_id = b.user_id and v.at <= epoch_us(b.ts) where b.event_type = 'purchase'""",
-        "throttled_events": """with e as (select event_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over w as g, lead(event_id) over w as n from events window w as (partition by user_id order by epoch_us(ts) / 1e6, event_id))
-select event_id from e where g is null or g >= 3600 or n is null""",
+        "throttled_events": """with recursive e as (select event_id, user_id, epoch_us(ts) / 1e6 as t, event_type = 'error' as p, row_number() over (partition by user_id order by ts, event_id) as k from events),
+s as (select user_id, k, event_id, p, t as sent, true as send from e where k = 1 union all
+select e.user_id, e.k, e.event_id, e.p, case when e.p <> s.p or e.t - s.sent >= 86400 then e.t else s.sent end, e.p <> s.p or e.t - s.sent >= 86400 from s join e on e.user_id = s.user_id and e.k = s.k + 1)
+select event_id from s where send""",
         "events_after": "select event_id, event_type from events where event_id > 500",
         "band_join": """select (p_size - 1) // 5 as band, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem join part on l_partkey = p_partkey where p_size between 1 and 50 group by 1""",
         "phrase_lines": rf"""with {_LINES}, p as (select hervorhebung_id as id, buch_id as doc, seite as page, regexp_replace(text, '[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g') as k from hervorhebungen),

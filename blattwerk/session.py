@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is used; on a cluster
-    without the setting this raises, since executors can't share a local path.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and everything runs in one local process, as in tests, a temporary folder is
+    used, which is removed at exit; on a cluster without the setting this
+    raises, since executors can't share a local path.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="blattwerk-"))
+        own = tempfile.mkdtemp(prefix="blattwerk-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -58,3 +63,42 @@ def salted_left_join(
         "__salt", F.col("__salt").cast("int")
     )
     return lo.join(ro, [*on, "__salt"], "left").drop("__salt")
+
+
+def in_ranges(df: DataFrame, key: list[str], order: list[str], name: str = "__range") -> DataFrame:
+    """``df`` in ranges of ``key`` and ``order``, each row with its range's number.
+
+    The numbers ascend in the order of the rows, so a key that holds a third of
+    all rows is several ranges. The result is stored: the numbers stay the same.
+    """
+    return cut(df.repartitionByRange(*key, *order).withColumn(name, F.spark_partition_id()))
+
+
+def carried(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the last non-null ``value`` before the row in its key's order.
+
+    ``order`` must be unique within the key. Values are carried within ranges,
+    then from range to range, so no window ever holds a whole key.
+    """
+    r = in_ranges(df, key, order)
+    inner = Window.partitionBy(*key, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per key and range; of these only the ranges of one key are in a window
+    last = r.groupBy(*key, "__range").agg(F.max_by(value, F.struct(F.col(value).isNotNull(), *order)).alias("__v"))
+    last = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__range").alias("__r"), F.last("__v", ignorenulls=True).over(upto).alias("__before"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)] + [F.col("__range") == F.col("__r")]
+    j = r.withColumn("__inner", F.last(value, ignorenulls=True).over(inner)).join(last, on)
+    return j.select(*df.columns, F.coalesce("__inner", "__before").alias(name))
+
+
+def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, chunk: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` up to the row, by key.
+
+    ``chunk`` must ascend with ``order``. Sums are taken by chunk, then over the
+    chunks, so a key with a third of all rows is spread over many tasks.
+    """
+    sums = df.groupBy(*key, chunk).agg(F.sum(value).alias("__s"))
+    upto = Window.partitionBy(*key).orderBy(chunk)
+    sums = sums.select(*key, chunk, (F.sum("__s").over(upto) - F.col("__s")).alias("__before"))
+    inner = Window.partitionBy(*key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("__in", F.sum(value).over(inner)).join(sums, [*key, chunk]).withColumn(name, F.col("__before") + F.col("__in")).drop("__before", "__in")

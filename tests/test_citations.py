@@ -43,7 +43,17 @@ def test_parts(spark):
 
 def test_standards(spark):
     rows = [("d", p, 0, "E DIN EN ISO 12345:2023-07") for p in range(3)] + [("d", p, 1, "Text") for p in range(3)]
+    # a book of twenty pages that quotes a standard at two page edges is none
+    rows += [("b", p, 0, "DIN EN 999:2001-02" if p in (9, 12) else "Kapitel") for p in range(20)]
+    rows += [("g", 1, 0, "Ausgabe"), ("g", 1, 1, "im August 2013 erschienen"), ("h", 0, 0, "Text")]
     lines = spark.createDataFrame(rows, "doc string, page int, pos int, line string")
-    docs = spark.createDataFrame([("d", "x.pdf"), ("e", "DIN EN 4567-1_2019-10-00_DE_123.pdf"), ("f", "Buch.pdf")], "doc string, name string")
-    got = {r.doc: (r.norm.nummer, r.norm.jahr, r.quelle) for r in S.recognised(docs, lines).collect()}
-    assert got == {"d": ("DIN EN ISO 12345", "2023", "Kopfzeile"), "e": ("DIN EN 4567-1", "2019", "Dateiname")}
+    names = {"d": "x.pdf", "e": "DIN EN 4567-1_2019-10-00_DE_123.pdf", "f": "Buch.pdf", "b": "Buch2.pdf", "g": "y.pdf", "h": "z.pdf", "i": "DIN_EN_ISO_12345_Berichtigung_1__2013-08.pdf"}
+    docs = spark.createDataFrame(list(names.items()), "doc string, name string")
+    toc = spark.createDataFrame([("g", 0, 0, "DIN EN ISO 12345 Berichtigung 1"), ("h", 2, 0, "DIN EN 77:2020-03"), ("h", 3, 0, "x")], "doc string, page int, pos int, title string")
+    got = {r.doc: (r.norm.nummer, r.norm.jahr, r.norm.monat, r.quelle) for r in S.recognised(docs, lines, toc).collect()}
+    assert got == {
+        "d": ("DIN EN ISO 12345", "2023", "07", "Kopfzeile der Norm"), "e": ("DIN EN 4567-1", "2019", "10", "Dateiname (Normen-Download)"),
+        "g": ("DIN EN ISO 12345 Berichtigung 1", "2013", "08", "Lesezeichen und Datum auf dem Deckblatt"), "h": ("DIN EN 77", "2020", "03", "Lesezeichen der Norm"),
+        "i": ("DIN EN ISO 12345 Berichtigung 1", "2013", "08", "Dateiname"),
+    }
+    assert S.recognised(docs, lines.limit(0)).count() == 2

@@ -83,8 +83,8 @@ def test_inbox_stream(spark, tmp_path):
 
 
 def test_settings(tmp_path):
-    s = config.settings({"text.max_name_len": 999, "order.breit": "0,7", "unbekannt": 1, "text.bibtex": "nein", "text.zitierstil": "x"})
-    assert s["text.max_name_len"] == 200 and s["order.breit"] == 0.7 and s["text.bibtex"] is False and s["text.zitierstil"] == "ieee"
+    s = config.settings({"text.max_name_len": 999, "order.breit": "0.7000000001", "order.lang": "0,4", "unbekannt": 1, "text.bibtex": "nein", "text.bibtex2": "", "text.formelsatz": " Ein ", "text.zitierstil": "x"})
+    assert s["text.max_name_len"] == 200 and s["order.breit"] == 0.7 and s["order.lang"] == 0.3 and s["text.formelsatz"] is True and s["text.bibtex"] is False and s["text.zitierstil"] == "ieee"
     config.save(str(tmp_path / "s.json"), s)
     assert config.deviations(config.load(str(tmp_path / "s.json"))) == config.deviations(s)
     assert config.load(str(tmp_path / "fehlt.json")) == config.settings() and len(config.SETTINGS) == 96

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from blattwerk.config import settings
 from blattwerk.operators import layout as L
 from blattwerk.operators import repair as R
+from blattwerk.operators.pages import whole_documents
 from blattwerk.plans import assembly as A
 
 CHARS = "doc string, page int, idx int, text string, left double, right double, bottom double, top double, size double"
@@ -61,9 +62,9 @@ def test_assembly(spark):
     rows = [("d", p, i, z) for p, t in enumerate(texts) for i, z in enumerate(t.split("\n"))]
     lines = spark.createDataFrame(rows, "doc string, page int, pos int, line string")
     toc = spark.createDataFrame([("d", 2, 0, 1, "Neues Kapitel")], "doc string, page int, pos int, level int, title string")
-    text = A.assembled(lines, toc).first().text
+    text = whole_documents(A.assembled(lines, toc)).first().text
     assert text.count("<!-- Seite ") == 6 and "<!-- Seite 13 (PDF 3) -->\n# Neues Kapitel" in text and "Wellen und Lager" not in text
-    plain = A.assembled(lines, None, None, settings({"text.seitenmarker": False, "text.gedruckte_seitenzahlen": False})).first().text
+    plain = whole_documents(A.assembled(lines, None, None, settings({"text.seitenmarker": False, "text.gedruckte_seitenzahlen": False}))).first().text
     assert "<!--" not in plain and plain.count("Satz") == 6
 
 
