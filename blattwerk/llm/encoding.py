@@ -1,9 +1,9 @@
 """Text garbled by a wrong decoding: found and restored by description length.
 
 Every candidate chain of encodings is applied to a line; each result is
-compressed with the zstandard dictionary of the line's language, and its
-characters beside ASCII and its unknown words are charged what they cost in
-that language. The chain with the least description length including its own
+compressed with the zstandard dictionary of every language, and its characters
+beside ASCII and its unknown words are charged what they cost in that language.
+The chain and language with the least description length including its own
 cost wins; if no chain saves ``MIN_GAIN`` bytes, or ``MIN_GAIN_ODD`` where the
 result has no known word and no usual characters either, the line stays as it
 is. Where all characters of a line are usual ones, the changed parts have to be
@@ -112,6 +112,7 @@ class Decoder:
         self.bytes = {c: byte_table(c) for c in {w for ws in WRONG_FOR.values() for w in ws}}
         self.memo: dict[str, dict[int, str]] = {}
         self.orderly: dict[str, bool] = {}
+        self.by_length: dict[str, dict[int, list[str]]] = {}
 
     def plain(self, text: str) -> bool:
         """Whether ``text`` has no character beside ASCII and the plain ones
@@ -152,12 +153,9 @@ class Decoder:
         changed = [b for a, b in zip(old.split(" "), new.split(" ")) if a != b]
         return any(all(self.known(b, lang) for b in changed) for lang in self.words)
 
-    def language(self, text: str) -> str:
-        """The language whose dictionary compresses the ASCII part best."""
-        if len(self.comp) == 1:
-            return next(iter(self.comp))
-        plain = text.encode("ascii", "ignore")
-        return min(self.comp, key=lambda k: (len(self.comp[k].compress(plain)), k))
+    def shortest(self, text: str) -> tuple[float, str]:
+        """The least description length of ``text`` over the languages, and which one gives it."""
+        return min((self.size(text, lang), lang) for lang in self.comp)
 
     def token(self, tok: str, chain: tuple) -> str | None:
         """``tok`` through ``chain``, or None where that gives nothing usable."""
@@ -204,12 +202,20 @@ class Decoder:
             if odd and len(odd) < len(new):
                 yield NAMES[k], " ".join(odd.get(i, t) for i, t in enumerate(toks)), cost + STEP_COST
 
+    def fits(self, pattern: str, lang: str) -> bool:
+        """Whether a known word of the language has the letters of ``pattern``, lost ones being any."""
+        if lang not in self.by_length:
+            self.by_length[lang] = {}
+            for w in self.words[lang]:
+                self.by_length[lang].setdefault(len(w), []).append(w)
+        return any(all(x in (y, LOST) for x, y in zip(pattern, w)) for w in self.by_length[lang].get(len(pattern), ()))
+
     def near(self, tok: str, lang: str) -> float:
         """0 where a known word fits ``tok``, whose lost characters may be any."""
         if LOST not in tok:
             return 0.0 if self.known(tok, lang) else 10 * UNKNOWN
         for w in WORD.findall(tok.lower()):
-            if LOST in w and not any(re.fullmatch(w.replace(LOST, "."), k) for k in self.words[lang]):
+            if LOST in w and not self.fits(w, lang):
                 return 10 * UNKNOWN
         return 0.0
 
@@ -238,22 +244,21 @@ class Decoder:
         found = list(self.candidates(text))
         if not found and not lost:
             return ("lost", text, 0.0) if any("\x80" <= c < "\xa0" and c != "\x85" for c in text) else None
-        lang = self.language(text)
-        old, best = self.size(text, lang), None
-        if (same := self.fold(text)) != text:
-            old = min(old, self.size(same, lang))
-        seen: dict[str, float] = {}
+        (old, lang), best = self.shortest(text), None
+        if found and (same := self.fold(text)) != text:
+            old = min(old, self.shortest(same)[0])
+        seen: dict[str, tuple[float, str]] = {}
         usual = all(c <= "\x7f" or c in PLAIN for c in text)
         for name, new, cost in found:
             if usual and not self.words_found(text, new):
                 continue
             if new not in seen:
-                seen[new] = self.size(new, lang)
-            total = seen[new] + cost
-            if old - total < (MIN_GAIN if self.sound(text, new, lang, name) else MIN_GAIN_ODD):
+                seen[new] = self.shortest(new)
+            total, own = seen[new][0] + cost, seen[new][1]
+            if old - total < (MIN_GAIN if self.sound(text, new, own, name) else MIN_GAIN_ODD):
                 continue
             if best is None or total < best[2]:
-                best = (name, new, total)
+                best, lang = (name, new, total), own
         if best:
             new = self.fill(best[1], lang) if lost else best[1]
             return best[0], new, old - best[2]

@@ -51,3 +51,17 @@ def test_garbled_into_usual_characters_only(spark, documents):
     df = spark.createDataFrame(list(enumerate([b for _, b in bad] + fine)), "id int, text string")
     got = {r.id: r.restored for r in E.examine(df, model, ["id"]).collect()}
     assert got == {i: t for i, (t, _) in enumerate(bad)}
+
+
+def test_every_pair_of_codecs(documents):
+    d = E.Decoder(E.fit(documents))
+    wrong = []
+    for right, codecs in E.WRONG_FOR.items():
+        for codec in codecs:
+            try:
+                bad = garble(TEXT, right, codec)
+            except UnicodeEncodeError:
+                continue
+            if bad != TEXT and (hit := d.examine(bad)) is None or bad != TEXT and hit[1] != TEXT:
+                wrong.append((right, codec, bad, hit))
+    assert not wrong
