@@ -2,36 +2,25 @@
 
 Each source's documents stand in a shuffled order, repeated as often as its
 share needs and its cap allows, and this stream is cut into blocks of equal
-tokens. The slots of the mixture take golden-ratio points through the
-cumulative weights; a slot's rank among those of its source is the number of
-the block that it holds. So every stretch of the mixture has about its shares.
+tokens. A source with n blocks has n points in the unit interval, evenly spaced
+and moved by a van der Corput point of its own; these points are the quantiles
+of its part of the cumulative weights. The mixture takes all points in order,
+so every stretch of it has about its shares, and each block has a place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blattwerk.session import cut, running_sum
+
 BLOCK_TOKENS = 4096
-GOLDEN = 0.6180339887498949
 SEED = 20250101
-#: Documents to a chunk of the shuffled order, slots to a chunk of the schedule.
+#: Blocks to a chunk of a source's order and of the schedule.
 CHUNK = 50_000
 
 
-def _prefix(df: DataFrame, group: list[str], order: list[str], value, chunk: str, name: str) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over the rows before, by group.
-
-    ``chunk`` must ascend with ``order``. Sums are taken by chunk, then over the
-    chunks, so a group with a third of all rows is spread over many tasks.
-    """
-    sums = df.groupBy(*group, chunk).agg(F.sum(value).alias("__s"))
-    upto = Window.partitionBy(*group).orderBy(chunk)
-    sums = sums.select(*group, chunk, (F.sum("__s").over(upto) - F.col("__s")).alias("__before"))
-    inner = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__in", F.sum(value).over(inner) - value).join(sums, [*group, chunk]).withColumn(name, F.col("__before") + F.col("__in")).drop("__before", "__in")
-
-
 def source_plan(sizes: DataFrame, targets: DataFrame, percent: float) -> DataFrame:
     """A row per target source: what it has, should give, and how often it repeats.
 
@@ -60,7 +49,7 @@ def select_documents(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     docs = sizes.where("source is not null and tokens > 0").join(F.broadcast(plan.select("source", "vorrat", "ganz", "rest")), "source")
     h = F.xxhash64("doc_id", F.lit(SEED))
     docs = docs.withColumn("h", h).withColumn("chunk", F.shiftright("h", 54))
-    docs = _prefix(docs, ["source"], ["h", "doc_id"], F.col("tokens"), "chunk", "davor")
+    docs = running_sum(docs, ["source"], ["h", "doc_id"], F.col("tokens"), "chunk", "davor").withColumn("davor", F.col("davor") - F.col("tokens"))
     uses = F.col("ganz") + F.when(F.col("davor") + F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)
     return (
         docs.withColumn("uses", uses)
@@ -70,49 +59,49 @@ def select_documents(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def schedule(blocks: list[tuple[str, int]], spark) -> DataFrame:
-    """``platz``, ``source``, ``block``: golden-ratio slots ranked per source.
+def van_der_corput(n: Column) -> Column:
+    """The point of ``n`` from 1 on: its binary digits behind the point, backwards."""
+    digits = F.bin(n)
+    return F.conv(F.reverse(digits), 2, 10).cast("double") / F.pow(F.lit(2.0), F.length(digits))
+
 
-    ``blocks`` has the number of blocks of each source. Where the points give a
-    source a few slots too many, those are dropped; blocks without a slot come
-    last, spread by the same points.
+def schedule(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (``source``, ``block``, each once) with ``platz``: dense from 0, unique.
+
+    The k-th of a source's n blocks stands at (k + v) / n, where v is the van der
+    Corput point of the source in order of name; of equal points the first source
+    counts. Ranks are sums by chunk, then over the chunks.
     """
-    n = sum(b for _, b in blocks)
-    edges, at = [], 0
-    for _, b in blocks:
-        at += b
-        edges.append(at / n if n else 0)
-    u = F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0))
-    pick = None
-    for (source, _), e in zip(blocks, edges):
-        pick = F.when(u < e, F.lit(source)) if pick is None else pick.when(u < e, F.lit(source))
-    slots = spark.range(n).withColumn("source", pick.otherwise(F.lit(blocks[-1][0])) if blocks else F.lit(None).cast("string"))
-    slots = slots.withColumn("chunk", F.floor(F.col("id") / CHUNK))
-    return _prefix(slots, ["source"], ["id"], F.lit(1), "chunk", "block").select(F.col("id").alias("platz"), "source", "block")
+    b = cut(running_sum(blocks.withColumn("chunk", F.floor(F.col("block") / CHUNK)), ["source"], ["block"], F.lit(1), "chunk", "k").drop("chunk"))
+    n = b.groupBy("source").agg(F.count("*").alias("n"))
+    # a row per target source: one window holds them
+    n = n.withColumn("v", van_der_corput(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source"))))
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("x")).first()["x"]
+    at = (F.col("k") - 1 + F.col("v")) / F.col("n")
+    p = b.join(F.broadcast(n), "source").withColumn("at", at).withColumn("chunk", F.floor(F.col("at") * F.lit(total // CHUNK + 1)))
+    p = running_sum(p, [], ["at", "source"], F.lit(1), "chunk", "platz")
+    return p.select("source", "block", (F.col("platz") - 1).alias("platz"))
 
 
 def mixture(sizes: DataFrame, targets: DataFrame, percent: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``platz``, ``source``, ``block``, ``ab``, ``doc_id``, ``wiederholung``, ``tokens``.
 
-    ``sizes`` has a unique ``doc_id``, ``source`` and ``tokens``, and should be
-    stored, as it is read several times. Documents of no target source, of
-    source null and without tokens aren't used. Sources too small for their
-    share even at the cap give what they have; the shares report tells.
+    A place holds the uses that start in one block, in the order of ``ab``; places
+    are dense from 0, no two blocks share one. ``sizes`` has a unique ``doc_id``,
+    ``source`` and ``tokens``, and should be stored, as it is read several times.
+    Documents of no target source, of source null and without tokens aren't used.
+    Sources too small for their share even at the cap give what they have, and
+    each source is at most half a document off; the shares report tells.
     """
-    spark = sizes.sparkSession
-    chosen = select_documents(sizes, source_plan(sizes, targets, percent)).withColumn("block", F.floor(F.col("ab") / block_tokens))
-    ends = chosen.groupBy("source").agg((F.max("block") + 1).alias("n")).orderBy("source").collect()  # a row per target source
-    slots = schedule([(r["source"], r["n"]) for r in ends], spark)
-    last = F.lit(sum(r["n"] for r in ends)) + F.col("block")
-    return chosen.join(slots, ["source", "block"], "left").select(
-        F.coalesce("platz", last).alias("platz"), "source", "block", "ab", "doc_id", "wiederholung", "tokens"
-    )
+    chosen = cut(select_documents(sizes, source_plan(sizes, targets, percent)).withColumn("block", F.floor(F.col("ab") / block_tokens)))
+    slots = schedule(chosen.select("source", "block").distinct())
+    return chosen.join(slots, ["source", "block"]).select("platz", "source", "block", "ab", "doc_id", "wiederholung", "tokens")
 
 
 def shares(sizes: DataFrame, targets: DataFrame, percent: float) -> DataFrame:
     """A row per target source: its share wanted and really got.
 
-    ``source``, ``anteil``, ``ziel_token``, ``token``, ``ist_anteil``,
+    ``source``, ``anteil``, ``ziel_token``, ``token``, ``ist_anteil``, ``abweichung`` (got less wanted),
     ``verwendungen``, ``dokumente``, ``haeufigste``.
     """
     plan = source_plan(sizes, targets, percent)
@@ -122,4 +111,4 @@ def shares(sizes: DataFrame, targets: DataFrame, percent: float) -> DataFrame:
     out = plan.join(got, "source", "left").select("source", "anteil", F.round("ziel", 1).alias("ziel_token"), *zero)
     # one row per target source: a single window holds them
     total = F.sum("token").over(Window.partitionBy(F.lit(1)))
-    return out.select("source", "anteil", "ziel_token", "token", F.round(F.try_divide(F.col("token"), total), 6).alias("ist_anteil"), "verwendungen", "dokumente", "haeufigste")
+    return out.select("source", "anteil", "ziel_token", "token", F.round(F.try_divide(F.col("token"), total), 6).alias("ist_anteil"), F.round(F.try_divide(F.col("token"), total) - F.col("anteil"), 6).alias("abweichung"), "verwendungen", "dokumente", "haeufigste")

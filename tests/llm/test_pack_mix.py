@@ -57,7 +57,14 @@ def test_mixture(spark):
         assert abs(by[s] - share * 0.6 * total) <= 151
     assert by["d"] == 400  # all that it has, four times
     assert len({(r.doc_id, r.wiederholung) for r in got}) == len(got)
+    places = {(r.platz, r.source, r.block) for r in got}
+    assert sorted(p for p, *_ in places) == list(range(len(places)))  # dense, and one block to a place
     order = sorted(got, key=lambda r: (r.platz, r.ab))
+    for m in range(20, len(places), 20):  # every stretch from the start has about its shares
+        upto = [s for p, s, _ in places if p < m]
+        for s in "abcd":
+            n = sum(x == s for _, x, _ in places)
+            assert abs(upto.count(s) - m * n / len(places)) <= 2
     half = [r for r in order[: len(order) // 2]]
     a = sum(r.tokens for r in half if r.source == "a") / sum(r.tokens for r in half)
     assert abs(a - by["a"] / sum(by.values())) < 0.05
@@ -71,3 +78,11 @@ def test_tokens(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: r.tokens for r in tokens.count_tokens(df, ["doc_id"]).collect()}
     assert got[1] == got[2] == 0 and got[0] > 3 and got[3] >= 50_000 and got[4] > 0
+
+
+def test_places_beyond_one_chunk(spark, monkeypatch):
+    monkeypatch.setattr(mix, "CHUNK", 7)
+    blocks = spark.createDataFrame([("a", b) for b in range(0, 100, 2)] + [("b", 3), ("c", 0), ("c", 9)], "source string, block long")
+    got = mix.schedule(blocks).orderBy("platz").collect()
+    assert [r.platz for r in got] == list(range(53)) and [r.block for r in got if r.source == "a"] == list(range(0, 100, 2))
+    assert mix.schedule(blocks.limit(0)).count() == 0
