@@ -310,26 +310,27 @@ def classify(texts: list[str], net: Network, tables: list[list[np.ndarray]] | No
         for a, b, i, j in parts(lines, at, p):
             mean = p[i:j].mean(axis=0)
             k = int(mean.argmax())
-            out[n].append((a, b, net.languages[k], float(mean[k]), j - i))
+            out[n].append((a, b, net.languages[k], dict(zip(net.languages, mean.tolist())), j - i))
     return [merge(s) for s in out]
 
 
-def merge(found: list[tuple[int, int, str, float, int]]) -> list[tuple[int, int, str, float]]:
+def merge(found: list[tuple[int, int, str, dict[str, float], int]]) -> list[tuple[int, int, str, float]]:
     """Neighbouring blocks of one language as a segment.
 
     A block in another language than the main one, but not surely so, counts as
-    of the main language.
+    of the main language, with the probability that the network gives that one.
     """
     if not found:
         return []
     size: dict[str, int] = {}
-    for a, b, lang, c, _ in found:
+    for a, b, lang, _, _ in found:
         size[lang] = size.get(lang, 0) + (b - a)
     main = max(size, key=lambda k: (size[k], k))
     out: list[list] = []
-    for a, b, lang, c, n in found:
-        if lang != main and c < MIN_CONFIDENCE:
-            lang, c = main, 1 - c
+    for a, b, lang, mean, n in found:
+        if mean[lang] < MIN_CONFIDENCE:
+            lang = main
+        c = mean[lang]
         if out and out[-1][2] == lang:
             out[-1][1] = b
             out[-1][3] += c * n
@@ -363,16 +364,19 @@ def segments(documents: DataFrame, net: Network, key: str = "doc_id", text: str
     return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t")).where("__t is not null").mapInArrow(run, schema)
 
 
-def document_languages(segs: DataFrame, key: str = "doc_id") -> DataFrame:
+def document_languages(documents: DataFrame, segs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key``, ``lang``, ``konfidenz``, ``anteil``: a row per document and language.
 
     ``anteil`` is its share of the classified characters; the greatest is the
-    document's main language.
+    document's main language. A document without text in a language has one row:
+    ``und`` with confidence and share 0.
     """
     size = (F.col("bis") - F.col("von")).cast("double")
     by = segs.groupBy(key, "lang").agg(F.sum(size).alias("n"), (F.sum(F.col("konfidenz") * size) / F.sum(size)).alias("konfidenz"))
     total = by.groupBy(key).agg(F.sum("n").alias("alles"))
-    return by.join(total, key).select(key, "lang", "konfidenz", (F.col("n") / F.col("alles")).alias("anteil"))
+    by = by.join(total, key).select(key, "lang", "konfidenz", (F.col("n") / F.col("alles")).alias("anteil"))
+    zero = F.lit(0.0)
+    return documents.select(F.col(f"`{key}`").alias(key)).join(by, key, "left").select(key, F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("konfidenz", zero).alias("konfidenz"), F.coalesce("anteil", zero).alias("anteil"))
 
 
 def unnamed(documents: DataFrame, segs: DataFrame, key: str = "doc_id") -> DataFrame:

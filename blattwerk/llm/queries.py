@@ -118,7 +118,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of every document with their shares."""
-    return langid.document_languages(language_segments(spark, sf_dir)).withColumn("konfidenz", F.round("konfidenz", 4))
+    return langid.document_languages(table(spark, sf_dir, "documents"), language_segments(spark, sf_dir)).withColumn("konfidenz", F.round("konfidenz", 4))
 
 
 def queries() -> dict:

@@ -51,8 +51,9 @@ def test_held_out_accuracy_and_segments(spark, corpus, monkeypatch):
         assert 0 < r.konfidenz <= 1
     assert by == {1: ["de", "en", "de"], 2: ["fr"], 6: ["en"], 7: ["de"]}
     assert {(r.doc_id, r.lang) for r in L.unnamed(df, seg).collect()} == {(1, "en"), (6, "en")}
-    share = {(r.doc_id, r.lang): r.anteil for r in L.document_languages(seg).collect()}
-    assert abs(share[1, "de"] + share[1, "en"] - 1) < 1e-9
+    share = {(r.doc_id, r.lang): r.anteil for r in L.document_languages(df, seg).collect()}
+    assert abs(share[1, "de"] + share[1, "en"] - 1) < 1e-9 and share[3, "und"] == share[4, "und"] == share[5, "und"] == 0
+    assert {k for k, _ in share} == set(range(1, 8))
     assert L.segments(df.limit(0), net).count() == 0
 
 
@@ -78,3 +79,8 @@ def test_language_changes_at_a_single_newline(corpus):
     assert [[g[2] for g in own] for own in got] == [["de", "en", "de"], ["fr", "en"], ["de"], ["de", "en", "de", "fr"]]
     assert got[0][1][:2] == cut
     assert text[slice(*got[0][0][:2])] == wrapped
+
+
+def test_confidence_is_that_of_the_language_named():
+    found = [(0, 50, "de", {"de": 0.9, "en": 0.06, "fr": 0.04}, 4), (50, 60, "en", {"de": 0.1, "en": 0.5, "fr": 0.4}, 1)]
+    assert L.merge(found) == [(0, 60, "de", (0.9 * 4 + 0.1) / 5)]
