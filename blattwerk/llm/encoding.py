@@ -112,6 +112,7 @@ class Decoder:
         self.bytes = {c: byte_table(c) for c in {w for ws in WRONG_FOR.values() for w in ws}}
         self.memo: dict[str, dict[int, str]] = {}
         self.orderly: dict[str, bool] = {}
+        self.charges: dict[str, dict[str, float]] = {lang: {} for lang in self.comp}
         self.by_length: dict[str, dict[int, list[str]]] = {}
 
     def plain(self, text: str) -> bool:
@@ -131,9 +132,18 @@ class Decoder:
         return True
 
     def size(self, text: str, lang: str) -> float:
-        cost = self.chars[lang]
-        out = len(self.comp[lang].compress(text.encode("utf-8", "surrogatepass"))) + sum(cost.get(c, UNSEEN) for c in text if c > "\x7f")
-        return out + UNKNOWN * sum(not t.isascii() and not self.known(t, lang) for t in text.split(" "))
+        """Bytes of ``text`` in a language: compressed, and what its characters beside ASCII
+        and its unknown words are charged."""
+        out, own = float(len(self.comp[lang].compress(text.encode("utf-8", "surrogatepass")))), self.charges[lang]
+        for t in text.split(" "):
+            if not t.isascii():
+                if t not in own:
+                    if len(own) > 100_000:
+                        own.clear()
+                    cost = self.chars[lang]
+                    own[t] = sum(cost.get(c, UNSEEN) for c in t if c > "\x7f") + UNKNOWN * (not self.known(t, lang))
+                out += own[t]
+        return out
 
     def known(self, tok: str, lang: str) -> bool:
         words = [w for w in WORD.findall(tok.lower()) if not w.isascii()]
