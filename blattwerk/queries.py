@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blattwerk import oracles
 from blattwerk.functions import citations, text
 from blattwerk.operators import layout, log, metrics, pages, repair, styles
 from blattwerk.plans import assembly, plans
@@ -18,8 +19,7 @@ def book_lines(spark: SparkSession, d: str) -> DataFrame:
     return z.where("line is not null").select(F.col("buch_id").alias("doc"), F.col("seite").alias("page"), "pos", "line")
 
 
-_LINES = """lines as (select buch_id as doc, seite as page, pos, arg_max(struct_pack(t := text), (gelesen_am, zeile_id)).t as line
-from zeilen group by all)"""
+_LINES = oracles.LINES
 
 
 def books(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,10 @@ def weak_spots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def styled(spark: SparkSession, d: str) -> DataFrame:
-    z = table(spark, d, "zeilen").where("text is not null")
+    """The latest reading of each line with its size, style and runs; null lines left out."""
+    one = ["zeile_id", "text", "groesse", "fett", "kursiv", "laeufe"]
+    z = table(spark, d, "zeilen").select("buch_id", "seite", "pos", "gelesen_am", *one).repartition("buch_id", "seite")
+    z = z.groupBy("buch_id", "seite", "pos").agg(F.max_by(F.struct(*one), F.struct("gelesen_am", "zeile_id")).alias("z")).select("buch_id", "seite", "pos", "z.*").where("text is not null")
     runs = F.transform("laeufe", lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["stil"], F.lit("")).alias("style")))
     return z.select("zeile_id", F.col("buch_id").alias("doc"), F.col("seite").alias("page"), "pos", "text", F.col("groesse").alias("size"), F.col("fett").alias("bold"), F.col("kursiv").alias("italic"), runs.alias("runs"))
 
@@ -114,7 +117,7 @@ def body_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_headings(spark: SparkSession, d: str) -> DataFrame:
-    return styles.headings(styled(spark, d).dropDuplicates(["doc", "page", "pos"]))
+    return styles.headings(styled(spark, d))
 
 
 def emphasised(spark: SparkSession, d: str) -> DataFrame:
@@ -367,7 +370,7 @@ from (select doc_id, coalesce(text, '') as t from documents))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    strip = lambda c: rf"regexp_replace({c}, '^[\s\x{{a0}}\x{{2007}}\x{{202f}}\x{{3000}}]+|[\s\x{{a0}}\x{{2007}}\x{{202f}}\x{{3000}}]+$', '', 'g')"
+    strip = oracles.strip
     return {
         "page_sizes": f"with {_LINES} select doc, page, count(*) as n_lines, sum(length(line))::bigint as n_chars from lines where line is not null group by all",
         "running_lines": rf"""with {_LINES}, filled as (select * from lines where line is not null and {strip("line")} <> ''),
@@ -384,7 +387,7 @@ where length(title) >= 2 group by all""",
         "reading_changes": """with z as (select buch_id as doc, seite, pos, text as line, gelesen_am, zeile_id from zeilen where text is not null),
 a as (select doc, seite, pos, arg_min(line, (gelesen_am, zeile_id)) as line from z group by all), b as (select doc, seite, pos, arg_max(line, (gelesen_am, zeile_id)) as line from z group by all)
 select doc, line, 'weg' as art from a where (doc, line) not in (select doc, line from b) union all select doc, line, 'neu' from b where (doc, line) not in (select doc, line from a)""",
-        "body_sizes": """with s as (select buch_id as doc, round(groesse * 2) / 2 as b, sum(length(text)) as n from zeilen where text is not null and groesse is not null group by all)
+        "body_sizes": f"""with {oracles.STYLED}, s as (select doc, round(size * 2) / 2 as b, sum(length(text)) as n from styled where size is not null group by all)
 select doc, arg_max(b, (n, b)) as body from s group by doc""",
         "run_summary": f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
 l as (select p.*, coalesce(a.seiten, b.seiten) as s, {_KIND} as art from protokoll p left join size a on a.name = {_NAME} left join size b on b.name = p.original_name),
@@ -457,12 +460,4 @@ c as (select doc, case when doc_id % 3 = 0 and length(w) - length(replace(w, 'ü
 t as (select doc, word, replace(word, '�', u) as better from c, unnest(['ä', 'ö', 'ü', 'Ä', 'Ö', 'Ü', 'ß']) as x(u) where length(word) >= 3 and length(word) - length(replace(word, '�', '')) = 1),
 f as (select t.doc, t.word, better, n, row_number() over win as k, coalesce(lead(n) over win, 0) as rival from t join c on c.doc = t.doc and c.word = better window win as (partition by t.doc, t.word order by n desc, better))
 select doc, word, better from f where k = 1 and n >= 2 and 3 * rival <= n""",
-        "number_sections": rf"""with {_LINES}, l as (select doc, page, pos, {strip("line")} as z from lines where line is not null),
-r as (select *, row_number() over (partition by doc, page order by pos) as a, row_number() over (partition by doc, page order by pos desc) as b from l where z <> ''),
-c as (select distinct doc, page, try_cast(unnest([regexp_extract(z, '^[-–—]?\s*(\d{{1,4}})\s*[-–—]?$', 1), regexp_extract(z, '(?i)^(?:Seite|S\.|Page)\s*(\d{{1,4}})(?:\s*(?:von|of|/)\s*\d{{1,4}})?$', 1),
-regexp_extract(z, '^(\d{{1,4}})\s{{1,6}}(?:\d{{1,3}}\s+)?[^\d\s.,:;/)\-–].{{0,90}}$', 1), regexp_extract(z, '^.{{0,90}}[^\d\s.,:;/(\-–]\s{{1,6}}(\d{{1,4}})$', 1)]) as int) as number from r where (a <= 4 or b <= 4) and length(z) <= 100),
-o as (select doc, page, page + 1 - number as "offset" from c where number > 0 and number < 5000),
-i as (select *, case when page - lag(page) over w <= 8 then 0 else 1 end as brk from o window w as (partition by doc, "offset" order by page)),
-g as (select *, sum(brk) over (partition by doc, "offset" order by page) as run from i), s as (select doc, "offset", min(page) as start, max(page) as "end", count(*) as hits from g group by doc, "offset", run)
-select * from s where (hits >= 3 and hits / ("end" - start + 1) >= 0.4) or ("offset" = 0 and "end" < 6 and hits / ("end" - start + 1) >= 0.5)""",
-    }
+    } | oracles.oracles()
