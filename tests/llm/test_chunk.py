@@ -26,12 +26,13 @@ def rows_of(pages):
 SCHEMA = "zeile_id long, buch_id long, seite int, pos int, text string, gelesen_am timestamp_ntz"
 
 
-@pytest.mark.parametrize("section", [4096, 4])
-def test_pages(spark, section, monkeypatch):
-    monkeypatch.setattr(C, "SECTION", section)
+@pytest.mark.parametrize("limits, chunk", [(1024, 4096), (2, 4096), (1, 3), (5, 4)])
+def test_pages(spark, limits, chunk, monkeypatch):
+    monkeypatch.setattr(C, "LIMITS", limits)
+    monkeypatch.setattr(C, "CHUNK", chunk)
     rng = random.Random(1)
     line = lambda: " ".join("wort" * rng.randint(1, 2) for _ in range(8)) + rng.choice([".", ""])
-    pages = [[line() for _ in range(n)] for n in (3, 14, 30)] + [["x" * 900], [None, "a", None], [None]]
+    pages = [[line() for _ in range(n)] for n in (3, 14, 30)] + [["x" * 900 + " " + "y " * 900, "", "", "z" * 2000, "1.2 a" * 90], [None, "a", None], [None]]
     rows = rows_of(pages)
     late = dt.datetime(2025, 1, 1)
     rows += [(900, 1, 0, 0, "neu gelesen", late), (901, 1, 0, 1, None, late)]
@@ -45,4 +46,8 @@ def test_pages(spark, section, monkeypatch):
         assert mine[0].von == 0 and mine[-1].bis == len(text)
         assert all(a.bis - 40 <= b.von <= a.bis for a, b in zip(mine, mine[1:]))
         assert (len(mine) > 1) == (len(text) > 300)
+        # the same pieces as of the whole page at once, however the work is parted
+        assert [(r.teil, r.von, r.bis) for r in mine] == [(k, a, b) for k, (a, b) in enumerate(C.spans(text, 300, 40))]
     assert C.pieces(df.limit(0), 300, 40).count() == 0
+    nowhere = df.selectExpr("zeile_id", "cast(null as long) as buch_id", "cast(null as int) as seite", "pos", "text", "gelesen_am").where("seite is null").limit(5)
+    assert {(r.buch_id, r.seite) for r in C.pieces(nowhere, 300, 40).collect()} == {(None, None)}
