@@ -143,4 +143,28 @@ a as (select doc, regexp_replace(t, '\x{{ad}}[ \t]+', chr(173) || chr(10), 'g')
 c as (select doc, regexp_replace(regexp_replace(t, '{DIVIDED}(\p{{Ll}})', '\1\2', 'g'), '{DIVIDED}(\p{{Ll}})', '\1\2', 'g') as t from b)
 select doc, regexp_replace(regexp_replace(t, '{DIVIDED}(\S)', '\1-\2', 'g'), '{DIVIDED}(\S)', '\1-\2', 'g') as text from c""",
         "size_headings": size_headings(),
+        "newest_documents": "select doc_id from documents order by eingang desc, lower(coalesce(source, '') || '/' || doc_id)",
+        "titles_found": "select kopf_id, titel from kopfbloecke where contains(strip_accents(lower(coalesce(titel, ''))), 'prufung')",
+        "outcome_shares": "select lauf, status, count(*) as n, floor(100.0 * count(*) / sum(count(*)) over (partition by lauf) + 0.5)::int as prozent from protokoll group by lauf, status",
+        "log_folders": r"""select coalesce(nullif(regexp_extract(nach_pfad, '^(.*)/[^/]*$', 1), ''), '.') as ordner, sum(length(hinweis) + 1)::bigint as groesse, count(*) as dateien from protokoll where nach_pfad <> '' group by 1""",
+        "repeated_titles": """select titel, textquelle, array_to_string(list_sort(list(distinct ort)), '|') as orte, count(distinct ort) as anzahl from (
+select lower(titel) as titel, trim(coalesce(textquelle, '')) as textquelle, coalesce(originaldatei, '') as ort from kopfbloecke) group by titel, textquelle""",
+        "trimmed_documents": rf"""select doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '{SPACE}+$', '')), chr(10)), '^{SPACE}+|{SPACE}+$', '', 'g')) as md5 from documents""",
+        "part_versions": """select p_partkey, case when p_partkey % 7 <> 0 then p_size end as major, case when p_partkey % 7 <> 0 then p_partkey % 10 end::int as minor, case when p_partkey % 7 <> 0 then case when p_partkey % 3 = 0 then 4 else 0 end end as patch from part""",
+        "axis_steps": """with m as (select c_nationkey, max(c_acctbal) as m from customer group by 1), b as (select *, m / 4 as raw, pow(10.0, floor(log10(m / 4))) as base from m),
+s as (select *, list_filter([1.0 * base, 2.0 * base, 2.5 * base, 5.0 * base, 10.0 * base], lambda x: x >= raw)[1] as schritt from b) select c_nationkey, schritt, (ceil(m / schritt - 0.001) + 1)::int as marken from s""",
+        "links_resolved": """with recursive l as (select p_partkey as path, p_partkey // 2 as t from part where p_partkey % 1000 <> 0 and p_partkey > 1), w as (select path, path as here, 0 as n from l
+union all select w.path, l.t, n + 1 from w join l on l.path = w.here where n < 20) select path, arg_max(here, n) as target from w group by path""",
+        "printed_labels": NUMBERS + """, lab as (select doc, page, number, case when doc % 3 = 0 then coalesce(number, page)::varchar when doc % 3 = 1 then (page + 2)::varchar else 'A-' || page end as label from printed),
+use_ as (select doc, count(*) filter (label <> (page + 1)::varchar) >= greatest(1, count(*) // 10) and (count(*) filter (try_cast(label as int) is not null and number is not null) = 0
+or count(*) filter (try_cast(label as int) = number) >= 0.8 * count(*) filter (try_cast(label as int) is not null and number is not null)) as use, count(number) as m from lab group by doc)
+select doc, page, case when use then label else number::varchar end as printed, case when use then 'Seitenlabel der PDF' when m > 0 then 'Seitenzahlen am Seitenrand' else '' end as quelle from lab join use_ using (doc)""",
+        "standards_recognised": rf"""with {LINES}, f as (select distinct doc, page from lines where line is not null), m as (select doc, count(*) as k, min(page) as first from f where doc % 3 = 0 and page % (1 + doc % 7) = 1 group by doc),
+n as (select l.doc, count(distinct page) as n from lines l where line is not null and ({strip("line")} <> '' or (doc % 3 = 0 and page % (1 + doc % 7) = 1)) group by l.doc),
+h as (select m.doc from m join n using (doc) where k >= greatest(2, 0.25 * n) or (k >= 2 and first < 4))
+select doc, case when h.doc is not null then 'DIN EN ISO ' || (d.doc + 100) else 'DIN EN ' || d.doc end as nummer, case when h.doc is not null then '20' || lpad((d.doc % 30)::varchar, 2, '0') else '2019' end as jahr,
+case when h.doc is not null then '0' || (d.doc % 9 + 1) else '10' end as monat, case when h.doc is not null then 'Kopfzeile der Norm' else 'Dateiname (Normen-Download)' end as quelle
+from (select distinct doc from f) d left join h using (doc) where h.doc is not null or d.doc % 5 = 0""",
+        "heads_read": """select kopf_id, case when kopf_id % 5 <> 0 then trim(titel || ' 2') end as titel, case when kopf_id % 5 <> 0 then seiten::varchar end as seiten,
+case when kopf_id % 5 <> 0 then 4 else length('---' || chr(10) || 'titel: ' || titel || chr(10) || 'seiten: ' || coalesce(seiten::varchar, 'null') || chr(10) || 'titel: ' || titel || ' 2' || chr(10) || 'Text') end as rest from kopfbloecke where titel is not null""",
     }

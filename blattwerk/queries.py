@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blattwerk import oracles
-from blattwerk.functions import citations, text
-from blattwerk.operators import layout, log, metrics, pages, repair, styles
+from blattwerk.functions import citations, standards, text
+from blattwerk.operators import layout, listing, log, metrics, pages, repair, styles
 from blattwerk.plans import assembly, plans
-from blattwerk.session import table
+from blattwerk.session import cut, table
+from blattwerk.sources import readers
 
 
 def book_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -338,6 +339,82 @@ def text_changes(spark: SparkSession, d: str) -> DataFrame:
     return repair.aligned_changes(first, last)
 
 
+def newest_documents(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "eingang")
+    return listing.newest_first(t, "name", "eingang").select("doc_id")
+
+
+def titles_found(spark: SparkSession, d: str) -> DataFrame:
+    return listing.named_like(table(spark, d, "kopfbloecke").select("kopf_id", "titel"), "titel", "PRUFUNG")
+
+
+def outcome_shares(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "protokoll").groupBy("lauf", "status").agg(F.count("*").alias("n"))
+    return listing.shares(n, "lauf", "n")
+
+
+def paced_runs(spark: SparkSession, d: str) -> DataFrame:
+    return listing.with_pace(run_summary(spark, d)).select("lauf", "art", "seiten_je_minute")
+
+
+def log_folders(spark: SparkSession, d: str) -> DataFrame:
+    return listing.folder_sizes(table(spark, d, "protokoll").where("nach_pfad <> ''").withColumn("g", F.length("hinweis") + 1), "nach_pfad", "g")
+
+
+def repeated_titles(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "kopfbloecke").select(F.lower("titel").alias("titel"), listing.trimmed_text(F.coalesce("textquelle", F.lit(""))).alias("textquelle"), F.coalesce("originaldatei", F.lit("")).alias("ort"))
+    return listing.repeated_parts(k, ["titel", "textquelle"], "ort").select("titel", "textquelle", F.array_join("ort", "|").alias("orte"), "anzahl")
+
+
+def trimmed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(listing.trimmed_text(F.col("text"))).alias("md5"))
+
+
+def part_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions made of each part's numbers; every seventh is one before a release."""
+    v = F.concat(F.when(F.col("p_partkey") % 2 == 0, "v").otherwise(""), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.when(F.col("p_partkey") % 7 == 0, "-beta").when(F.col("p_partkey") % 3 == 0, ".4").otherwise(""))
+    p = table(spark, d, "part").select("p_partkey", listing.version(v).alias("v"))
+    return p.select("p_partkey", "v.major", "v.minor", "v.patch")
+
+
+def axis_steps(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("m"))
+    return m.select("c_nationkey", listing.axis_step(F.col("m")).alias("schritt"), F.size(listing.axis_ticks(F.col("m"))).alias("marken"))
+
+
+def links_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Each part links to the one of half its number, those divisible by 1,000 to nothing."""
+    p = table(spark, d, "part").where("p_partkey % 1000 <> 0 and p_partkey > 1")
+    return listing.resolved(p.select(F.col("p_partkey").alias("path"), F.floor(F.col("p_partkey") / 2).alias("to")))
+
+
+def printed_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that a third of the books have right, a third one off, against the margins."""
+    lines = book_lines(spark, d)
+    numbers = cut(pages.margin_numbers(lines.select("doc", "page").distinct(), pages.number_candidates(lines)))
+    label = F.when(F.col("doc") % 3 == 0, F.coalesce("number", F.col("page")).cast("string")).when(F.col("doc") % 3 == 1, (F.col("page") + 2).cast("string")).otherwise(F.concat(F.lit("A-"), F.col("page").cast("string")))
+    return pages.page_labels(numbers, numbers.select("doc", "page", label.alias("label")))
+
+
+def standards_recognised(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of a standard put on some pages of some books, numbers into the names of others."""
+    lines = book_lines(spark, d)
+    header = F.concat(F.lit("DIN EN ISO "), (F.col("doc") + 100).cast("string"), F.lit(":20"), F.lpad((F.col("doc") % 30).cast("string"), 2, "0"), F.lit("-0"), (F.col("doc") % 9 + 1).cast("string"))
+    made = lines.select("doc", "page").distinct().where("doc % 3 = 0 and page % (1 + doc % 7) = 1").select("doc", "page", F.lit(-1).alias("pos"), header.alias("line"))
+    names = lines.select("doc").distinct().select("doc", F.when(F.col("doc") % 5 == 0, F.concat(F.lit("DIN EN "), F.col("doc").cast("string"), F.lit("_2019-10-00_DE_1.pdf"))).otherwise(F.concat(F.lit("Buch "), F.col("doc").cast("string"), F.lit(".pdf"))).alias("name"))
+    got = standards.recognised(names, lines.select("doc", "page", "pos", "line").unionByName(made))
+    return got.select("doc", "norm.nummer", "norm.jahr", "norm.monat", "quelle")
+
+
+def heads_read(spark: SparkSession, d: str) -> DataFrame:
+    """Front matter written and read again, every fifth without its end."""
+    k = table(spark, d, "kopfbloecke").where("titel is not null")
+    end = F.when(F.col("kopf_id") % 5 == 0, "").otherwise("---\n\n")
+    t = k.select("kopf_id", F.concat(F.lit("---\ntitel: "), F.col("titel"), F.lit("\nseiten: "), F.coalesce(F.col("seiten").cast("string"), F.lit("null")), F.lit("\ntitel: "), F.col("titel"), F.lit(" 2\n"), end, F.lit("Text")).alias("text"))
+    h = readers.front_matter(t)
+    return h.select("kopf_id", h.kopf["titel"].alias("titel"), h.kopf["seiten"].alias("seiten"), F.length("rest").alias("rest"))
+
+
 NAMES = (
     assembled_text, columns_ordered, word_scripts, text_changes,
     running_lines, edge_lines_removed, page_sizes, sentence_breaks, number_sections, printed_numbers, running_titles_removed, page_paragraphs,
@@ -345,7 +422,8 @@ NAMES = (
     phrase_lines, run_summary, step_durations, undo_candidates, latest_runs, provenance, review_reasons, document_figures, figure_sums,
     quality_points, open_spots, inventory, signature, repeated_text, safe_names, short_authors, accepted_heads, review_routing, joined_words,
     clean_pages, plain_text, rename_candidates, collision_names, bibliography, cited_books, merged_spans, view_before, throttled_events,
-    events_after, nearest_label, band_join,
+    events_after, nearest_label, band_join, newest_documents, titles_found, outcome_shares, paced_runs, log_folders, repeated_titles,
+    trimmed_documents, part_versions, axis_steps, links_resolved, printed_labels, standards_recognised, heads_read,
 )
 
 
@@ -371,6 +449,13 @@ from (select doc_id, coalesce(text, '') as t from documents))"""
 
 def oracle_sql() -> dict[str, str]:
     strip = oracles.strip
+    runs = f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
+l as (select p.*, coalesce(a.seiten, b.seiten) as s, {_KIND} as art from protokoll p left join size a on a.name = {_NAME} left join size b on b.name = p.original_name),
+g as (select lauf, art, count(*) filter (art not in ('Umwandlung', 'Text erneuert') or {_CONV}) as dateien, count(*) filter (status in ('OK', 'TEXT_ERNEUERT')) as ok,
+count(*) filter (status = 'PRÜFEN') as pruefen, count(*) filter (status = 'FEHLER') as fehler, count(*) filter (status = 'NACHGEBESSERT') as nachgebessert,
+max({_T.format("zeit")}) filter ({_CONV}) as ende, sum(coalesce(s, 0)) filter ({_CONV}) as s from l where art is not null group by all),
+h as (select *, epoch(ende)::bigint - epoch({_T.format("lauf")})::bigint as d from g), i as (select *, case when d between 0 and 21600 then d::int end as sekunden, nullif(s, 0)::bigint as seiten from h)
+select lauf, art, dateien, ok, pruefen, fehler, nachgebessert, sekunden, seiten, case when sekunden > 0 then round_even(seiten * 60 / sekunden, 1) end as seiten_je_minute from i"""
     return {
         "page_sizes": f"with {_LINES} select doc, page, count(*) as n_lines, sum(length(line))::bigint as n_chars from lines where line is not null group by all",
         "running_lines": rf"""with {_LINES}, filled as (select * from lines where line is not null and {strip("line")} <> ''),
@@ -389,13 +474,8 @@ a as (select doc, seite, pos, arg_min(line, (gelesen_am, zeile_id)) as line from
 select doc, line, 'weg' as art from a where (doc, line) not in (select doc, line from b) union all select doc, line, 'neu' from b where (doc, line) not in (select doc, line from a)""",
         "body_sizes": f"""with {oracles.STYLED}, s as (select doc, round(size * 2) / 2 as b, sum(length(text)) as n from styled where size is not null group by all)
 select doc, arg_max(b, (n, b)) as body from s group by doc""",
-        "run_summary": f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
-l as (select p.*, coalesce(a.seiten, b.seiten) as s, {_KIND} as art from protokoll p left join size a on a.name = {_NAME} left join size b on b.name = p.original_name),
-g as (select lauf, art, count(*) filter (art not in ('Umwandlung', 'Text erneuert') or {_CONV}) as dateien, count(*) filter (status in ('OK', 'TEXT_ERNEUERT')) as ok,
-count(*) filter (status = 'PRÜFEN') as pruefen, count(*) filter (status = 'FEHLER') as fehler, count(*) filter (status = 'NACHGEBESSERT') as nachgebessert,
-max({_T.format("zeit")}) filter ({_CONV}) as ende, sum(coalesce(s, 0)) filter ({_CONV}) as s from l where art is not null group by all),
-h as (select *, epoch(ende)::bigint - epoch({_T.format("lauf")})::bigint as d from g), i as (select *, case when d between 0 and 21600 then d::int end as sekunden, nullif(s, 0)::bigint as seiten from h)
-select lauf, art, dateien, ok, pruefen, fehler, nachgebessert, sekunden, seiten, case when sekunden > 0 then round_even(seiten * 60 / sekunden, 1) end as seiten_je_minute from i""",
+        "run_summary": runs,
+        "paced_runs": f"select lauf, art, seiten_je_minute from ({runs}) where seiten_je_minute is not null",
         "step_durations": f"""with {_BOOKS}, size as (select originaldatei as name, max(seiten) as seiten from books where originaldatei is not null group by 1),
 t as (select *, {_KIND} as art, {_T.format("zeit")} as t, {_NAME} as name from protokoll where {_KIND} is not null),
 w as (select *, epoch(t)::bigint - epoch(coalesce(last_value(t ignore nulls) over (partition by lauf, art order by zeit, eintrag_nr rows between unbounded preceding and 1 preceding), {_T.format("lauf")}))::bigint as d from t)
