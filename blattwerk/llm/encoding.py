@@ -333,6 +333,21 @@ def examine(rows: DataFrame, model: Model, keys: list[str], text: str = "text")
     )
 
 
+def in_order(rows: DataFrame, model: Model, text: str, asked: str) -> DataFrame:
+    """``rows`` without those that are garbled; rows where ``asked`` isn't true all stay.
+
+    Null and empty texts are in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model)
+        for batch in batches:
+            keep = [not ask or not t or decoder.examine(t) is None for t, ask in zip(batch.column(text).to_pylist(), batch.column(asked).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def restore(rows: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
     """All ``rows`` with the column ``restored``: the text, repaired where possible.
 

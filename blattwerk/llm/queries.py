@@ -33,10 +33,9 @@ def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text stands in another form, those of problem 3 left out."""
-    new = unify.changed(marked_texts(spark, sf_dir), ["tabelle", "id"])
+    new = unify.changed(marked_texts(spark, sf_dir), ["tabelle", "id"]).select("tabelle", "id", "original", (F.col("tabelle") == "zeilen").alias("zeile"))
     model = encoding.fit(table(spark, sf_dir, "documents"))
-    garbled = encoding.examine(new, model, ["tabelle", "id"], "original").where("tabelle = 'zeilen'")
-    return new.select("tabelle", "id").join(garbled.select("tabelle", "id"), ["tabelle", "id"], "left_anti")
+    return encoding.in_order(new, model, "original", "zeile").select("tabelle", "id")
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

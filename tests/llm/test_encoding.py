@@ -31,6 +31,9 @@ def test_round_trips_and_decoys(spark, documents):
     whole = {r.id: r.restored for r in E.restore(df.select("id", "text"), model, "id").collect()}
     assert len(whole) == len(rows) and whole[len(rows) - 2] is None and whole[len(bad)] == TEXT
     assert E.examine(df.limit(0), model, ["id"]).count() == 0
+    asked = df.selectExpr("id", "text", "id % 2 = 0 as asked")
+    left = {r.id for r in E.in_order(asked, model, "text", "asked").collect()}
+    assert left == {i for i, _ in rows if i % 2 or i not in got}
 
 
 def test_without_labels(spark, documents):
