@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blattwerk.functions import text as T
-from blattwerk.session import salted_left_join
+from blattwerk.session import cut, salted_left_join
 
 # What numbers, captions and font names look like.
 NUMBER = r"(?U)^(\d{1,2}|[A-Z](?=\.\d))((?:\.\d{1,2})*)\.?\s+(?=\S)"
@@ -60,18 +60,19 @@ def headings(lines: DataFrame) -> DataFrame:
     number, else the rank of the size. A document with more than four headings a
     page gives none.
     """
-    j = salted_left_join(lines, body_size(lines), ["doc"], 16, F.col("page"))
+    w = Window.partitionBy("doc", "page").orderBy("pos")
     num = F.col("text").rlike(NUMBER)
+    placed = lines.select("doc", "page", "pos", "text", "size", "bold", F.row_number().over(w).alias("n"))
+    # only lines above the body size, or numbered ones, take part from here on
+    j = salted_left_join(placed, body_size(lines), ["doc"], 16, F.col("page"))
     cand = (F.col("size") >= F.col("body") * LARGER) | (num & (F.col("size") >= F.col("body") * NUMBERED)) | (num & (F.col("bold") >= 0.9) & (F.col("size") >= F.col("body") * 0.95))
-    j = j.withColumn("cand", F.coalesce(cand, F.lit(False)))
-    repeat = j.where("cand").groupBy("doc", T.digits_folded(F.col("text")).alias("k"), "size").agg(F.countDistinct("page").alias("p")).where("p >= 3").select("doc", "k", "size", F.lit(True).alias("running"))
-    j = salted_left_join(j.withColumn("k", T.digits_folded(F.col("text"))), repeat, ["doc", "k", "size"], 16, F.col("page"))
-    j = j.withColumn("cand", F.col("cand") & F.col("running").isNull())
-    w = Window.partitionBy("doc", "page").orderBy("pos")
-    same = F.lag("cand").over(w) & (F.abs(F.lag("size").over(w) - F.col("size")) <= 0.3) & ((F.lag("bold").over(w) >= 0.5) == (F.col("bold") >= 0.5)) & ~num
-    j = j.withColumn("start", (~(F.col("cand") & F.coalesce(same, F.lit(False)))).cast("int")).withColumn("grp", F.sum("start").over(w))
+    j = cut(j.where(cand).withColumn("k", T.digits_folded(F.col("text"))))
+    repeat = j.groupBy("doc", "k", "size").agg(F.countDistinct("page").alias("p")).where("p >= 3").select("doc", "k", "size", F.lit(True).alias("running"))
+    j = salted_left_join(j, repeat, ["doc", "k", "size"], 16, F.col("page")).where("running is null")
+    same = (F.lag("n").over(w) == F.col("n") - 1) & (F.abs(F.lag("size").over(w) - F.col("size")) <= 0.3) & ((F.lag("bold").over(w) >= 0.5) == (F.col("bold") >= 0.5)) & ~num
+    j = j.withColumn("start", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("grp", F.sum("start").over(w))
     row = F.row_number().over(Window.partitionBy("doc", "page", "grp").orderBy("pos")) - 1
-    j = j.where("cand").withColumn("part", F.floor(row / 3))
+    j = j.withColumn("part", F.floor(row / 3))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: T.strip(x["text"]))
     g = j.groupBy("doc", "page", "grp", "part").agg(F.min("pos").alias("pos"), F.max("size").alias("size"), F.array_join(parts, " ").alias("title")).where(title_like(F.col("title")))
     sizes = g.groupBy("doc", "size").agg(F.count("*").alias("c")).withColumn("rank", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc("size"))))
