@@ -23,18 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blattwerk.llm.labels import LANGUAGES, labelled_sample
-
-#: The dictionaries are fitted on the SAMPLE_DOCS labelled documents with
-#: hashes of their id, and on no more than SAMPLE_CHARS characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 6000
-DICT_BYTES = 48 * 1024
+from blattwerk.llm.labels import LANGUAGES, named_language
+from blattwerk.session import cut
+
+#: Bytes of a dictionary, and how many runs of words it is trained on: those that
+#: have most characters in all labelled documents, far more than find room in it.
+#: A run is shown as often as it was counted, but no more than REPEAT times.
+DICT_BYTES, RUNS, REPEAT = 48 * 1024, 16_384, 4
+#: Distinct words and runs held by a counting task before it hands them on.
+FLUSH = 400_000
 LEVEL = 1
 #: Bytes that a chain has to save beyond its cost, and the cost of one step.
 MIN_GAIN, MIN_GAIN_ODD, STEP_COST = 1.5, 5.0, 0.5
-#: Bytes charged for a character that the language's sample doesn't have.
+#: Bytes charged for a character that the language's documents don't have.
 UNSEEN = 2.5
-#: Bytes charged for a word with such characters that isn't in the sample.
+#: Bytes charged for a word with such characters that isn't in the documents.
 UNKNOWN = 1.0
 #: Characters that the supported languages use beside ASCII.
 USUAL = frozenset(
@@ -277,31 +280,85 @@ class Decoder:
         return ("lost", text, 0.0) if any("\x80" <= c < "\xa0" and c != "\x85" for c in text) else None
 
 
+#: A line in runs of up to four words, long ones in parts.
+_RUN = re.compile(r"(?:\S{1,32}\s{0,2}){1,4}")
+
+
+def text_counts(documents: DataFrame) -> DataFrame:
+    """``lang``, ``kind``, ``item``, ``n`` of all labelled documents, whole.
+
+    Lines of more than 20 characters count: their characters beside ASCII (``c``, under ""
+    all characters), words with such characters (``w``), and the runs of words that a line
+    consists of (``r``). Each task counts its rows first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toks: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+        runs: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+
+        def flush() -> pa.RecordBatch:
+            out: list[tuple[str, str, str, int]] = []
+            for lang in LANGUAGES:
+                chars, words = Counter(), Counter()
+                for t, n in toks[lang].items():
+                    chars[""] += n * len(t)
+                    if not t.isascii():
+                        for c in t:
+                            if c > "\x7f":
+                                chars[c] += n
+                        for w in WORD.findall(t.lower()):
+                            if not w.isascii():
+                                words[w] += n
+                for kind, count in (("c", chars), ("w", words), ("r", runs[lang])):
+                    out += [(lang, kind, x, n) for x, n in count.items()]
+                toks[lang].clear(), runs[lang].clear()
+            cols = list(zip(*out)) or [()] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "item", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [p for p in text.split("\n") if len(p) > 20]
+                toks[lang].update(" ".join(parts).split(" "))
+                for p in parts:
+                    runs[lang].update(_RUN.findall(p))
+            if sum(map(len, toks.values())) + sum(map(len, runs.values())) > FLUSH:
+                yield flush()
+        yield flush()
+
+    named = documents.select(named_language(F.col("lang")).alias("l"), "text").where("l is not null and text is not null")
+    return named.mapInArrow(run, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+
+
 def fit(documents: DataFrame) -> Model:
-    """Dictionary and character costs per language, from labelled documents.
+    """Dictionary and character costs per language, from all labelled documents.
 
-    The sample is bounded by SAMPLE_DOCS and SAMPLE_CHARS. A language with too
-    little text for a trained dictionary gets its raw text as dictionary; an
-    empty table gives no dictionary, and then plain compression decides.
+    Characters, words and runs are counted over the whole table; a dictionary of
+    DICT_BYTES is trained on the RUNS runs that have most characters there, those that have
+    most at the end. A language with too little text for a trained dictionary gets the
+    runs themselves as dictionary; an empty table gives no dictionary, and then
+    plain compression decides.
     """
     import zstandard as zstd
 
-    rows = labelled_sample(documents, SAMPLE_DOCS, SAMPLE_CHARS)
+    counts = cut(text_counts(documents))
+    few: dict[tuple[str, str], dict[str, int]] = {}
+    for r in counts.where("kind = 'c' or kind = 'w' and n > 1").collect():
+        few.setdefault((r["lang"], r["kind"]), {})[r["item"]] = r["n"]
     model = Model({}, {}, {})
     for lang in LANGUAGES:
-        parts = [p for name, text in rows if name == lang for p in text.split("\n") if len(p) > 20]
-        if not parts:
+        chars = few.get((lang, "c"), {})
+        if not chars:
             continue
-        raw = [p.encode() for p in parts]
+        most = counts.where((F.col("lang") == lang) & (F.col("kind") == "r")).orderBy(F.desc(F.col("n") * F.length("item")), "item").limit(RUNS).collect()
+        raw = [r["item"].encode("utf-8", "surrogatepass") for r in reversed(most)]
+        shown = [x for x, r in zip(raw, reversed(most)) for _ in range(min(REPEAT, r["n"]))]
         try:
-            model.dictionaries[lang] = zstd.train_dictionary(DICT_BYTES, raw).as_bytes()
+            model.dictionaries[lang] = zstd.train_dictionary(DICT_BYTES, shown).as_bytes()
         except zstd.ZstdError:
-            model.dictionaries[lang] = b"\n".join(raw)[-DICT_BYTES:]
-        counts = Counter("".join(parts))
-        total = counts.total() + 1
-        model.chars[lang] = {c: min(UNSEEN, math.log2(total / n) / 8) for c, n in counts.items() if c > "\x7f"}
-        words = Counter(w for p in parts for w in WORD.findall(p.lower()) if not w.isascii())
-        model.words[lang] = {w for w, n in words.items() if n > 1}
+            model.dictionaries[lang] = b"".join(raw)[-DICT_BYTES:]
+        total = chars.pop("") + 1
+        model.chars[lang] = {c: min(UNSEEN, math.log2(total / n) / 8) for c, n in chars.items()}
+        model.words[lang] = set(few.get((lang, "w"), ()))
     return model
 
 

@@ -68,3 +68,20 @@ def test_every_pair_of_codecs(documents):
             if bad != TEXT and (hit := d.examine(bad)) is None or bad != TEXT and hit[1] != TEXT:
                 wrong.append((right, codec, bad, hit))
     assert not wrong
+
+
+def test_fitted_on_whole_texts_of_all_documents(spark, documents):
+    """Words beyond 6,000 characters of a text, and of more documents than a sample has, count."""
+    plain = "Der Werkstoff wird ohne weitere Angaben erneut beschrieben und bewertet.\n"
+    late = plain * 100 + "Die Gärbehälterdeckel und die Rührflügelnaben stehen im Käsereigebäude.\n"
+    rows = [(100_000 + i, late, "de") for i in range(2)] + [(200_000 + i, plain, "de") for i in range(4000)]
+    rows += [(300_000 + i, f"Der Prüfling {'abcdefghij'[i % 10]} trägt die Aufschrift Hülsenführungsmaß hier.", "de") for i in range(2)]
+    df = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = E.fit(df)
+    assert {"gärbehälterdeckel", "rührflügelnaben", "käsereigebäude", "hülsenführungsmaß"} <= model.words["de"]
+    n = {(r.kind, r.item): r.n for r in E.text_counts(df.where("doc_id >= 100000")).collect()}
+    assert n["w", "rührflügelnaben"] == 2 and n["c", "ß"] == 2 and n["r", "Der Werkstoff wird ohne "] == 4200
+    assert E.fit(df.repartition(7)) == model
+    bad = garble("die Gärbehälterdeckel", "mac_roman", "cp850")
+    got = E.examine(spark.createDataFrame([(1, bad)], "id int, text string"), model, ["id"]).collect()
+    assert [r.restored for r in got] == ["die Gärbehälterdeckel"]
