@@ -85,3 +85,18 @@ def test_fitted_on_whole_texts_of_all_documents(spark, documents):
     bad = garble("die Gärbehälterdeckel", "mac_roman", "cp850")
     got = E.examine(spark.createDataFrame([(1, bad)], "id int, text string"), model, ["id"]).collect()
     assert [r.restored for r in got] == ["die Gärbehälterdeckel"]
+
+
+def test_p2_leaves_out_what_whole_documents_tell(spark, documents, tmp_path):
+    """A garbled line whose words stand behind 6,000 characters of a text is no case of problem 2."""
+    from blattwerk.llm.queries import p2_found
+
+    plain = "Der Werkstoff wird ohne weitere Angaben erneut beschrieben und bewertet.\n" * 100
+    late = plain + "Die Gärbehälterdeckel und die Rührflügelnaben stehen im Käsereigebäude.\n"
+    more = spark.createDataFrame([(100_000 + i, late, "de") for i in range(2)], "doc_id long, text string, lang string")
+    documents.select("doc_id", "text", "lang").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    bad = "die\u200b " + garble("Gärbehälterdeckel und die Rührflügelnaben", "cp1252", "cp850")
+    spark.createDataFrame([(1, bad), (2, "die\u200b Welle"), (3, "die Welle")], "zeile_id long, text string").write.parquet(f"{tmp_path}/zeilen.parquet")
+    spark.createDataFrame([(1, bad)], "hervorhebung_id long, text string").write.parquet(f"{tmp_path}/hervorhebungen.parquet")
+    got = {(r.tabelle, r.id) for r in p2_found(spark, str(tmp_path)).collect()}
+    assert got == {("zeilen", 2), ("hervorhebungen", 1)}
