@@ -32,11 +32,12 @@ NAMESAKES = 0.3
 #: share of them has three long words, and if it begins such a share of all of
 #: those. The last bounds how many kinds there are: no more than 1 / KIND_OF_ALL.
 KIND_LEAST, KIND_SHARE, KIND_OF_ALL = 5, 0.8, 0.002
-#: Short forms are learned from surnames with 2 to TELLING given names, as surnames
-#: of many persons tell nothing; how often a short form stands with its full name
-#: there; what the public list below counts beside the data; and the odds against
-#: two names beforehand.
-TELLING, TOGETHER, LISTED, UNALIKE = 8, 0.6, 3, 1000
+#: Short forms are learned from all surnames with two given names or more: how often a
+#: short form stands with its full name there, beside being there by chance; what the
+#: public list below counts beside the data; and the odds against two names beforehand.
+TOGETHER, LISTED, UNALIKE = 0.6, 3, 1000
+#: Rows of an entity, or given names of a surname, that one task pairs with the others.
+PAIRED = 1000
 #: Odds of "First Last" to "Last First" without a comma.
 IN_ORDER = 3.0
 
@@ -325,24 +326,33 @@ def short_forms(fulls: DataFrame) -> DataFrame:
     """``word``, ``name``, ``odds``: given names and what they are short for, with the log odds.
 
     ``fulls`` has ``root`` and ``word``, a row per surname and given name. A short form stands
-    with its full name in the share TOGETHER of the telling surnames, another
-    name only as often as its frequency makes it. Only the more frequent of two
-    names is the full one.
+    with its full name in the share TOGETHER of the surnames with two given names or
+    more, and else by chance like any other name. The chance grows with the given
+    names of the surname, so one of many persons tells little by itself. Only the more
+    frequent of two names is the full one. The pairs of a surname are spread over as many
+    tasks as it has thousands of given names.
     """
     spark = fulls.sparkSession
-    telling = fulls.groupBy("root").agg(F.count("*").alias("s")).where(f"s between 2 and {TELLING}").select("root")
-    t = cut(fulls.join(telling, "root").select("root", "word"))
+    sizes = fulls.groupBy("root").agg(F.count("*").alias("s")).where("s > 1")
+    t = cut(fulls.join(sizes, "root").select("root", "word", "s"))
     size = t.groupBy("word").agg(F.count("*").alias("k"))
-    roots = t.select("root").distinct().count()
-    pairs = t.join(t.select("root", F.col("word").alias("name")), "root").where("word <> name").groupBy("word", "name").agg(F.count("*").alias("both"))
+    places = t.count()
+    # the share of all places that a name has
+    name = size.select(F.col("word").alias("name"), F.col("k").alias("m"), ((F.col("k") + 1) / F.lit(places + 2.0)).alias("p"))
+    here = t.withColumn("parts", F.ceil(F.col("s") / PAIRED).cast("int"))
+    a = here.select("root", "word", "s", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"))
+    b = here.select("root", F.col("word").alias("name"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(name.select("name", "p"), "name")
+    chance = F.least(F.lit(0.95), 1 - F.pow(1 - F.col("p"), F.col("s")) + 0.02)
+    tells = F.log((TOGETHER + (1 - TOGETHER) * chance) / chance)
+    pairs = a.join(b, ["root", "part"]).where("word <> name").groupBy("word", "name").agg(F.count("*").alias("both"), F.sum(tells).alias("tells"))
+    new = F.lit(math.log((TOGETHER + (1 - TOGETHER) * 0.02) / 0.02))
     listed = spark.createDataFrame([(key(a), key(b), LISTED) for a, b in NICKNAMES.items() if key(a) != key(b)], "word string, name string, both bigint")
-    pairs = pairs.unionByName(listed).groupBy("word", "name").agg(F.sum("both").alias("both"))
+    pairs = pairs.unionByName(listed.withColumn("tells", F.col("both") * new)).groupBy("word", "name").agg(F.sum("both").alias("both"), F.sum("tells").alias("tells"))
     known = listed.select("word", "name", F.lit(True).alias("listed"))
-    name = size.select(F.col("word").alias("name"), F.col("k").alias("m"))
     j = pairs.join(known, ["word", "name"], "left").join(size, "word", "left").join(name, "name", "left").fillna(0, ["k", "m"])
     j = j.withColumn("k", F.greatest(F.col("k") + F.when(F.col("listed"), LISTED).otherwise(0), "both"))
-    chance = F.least(F.lit(0.5), (F.col("m") + 1) / (roots + 2.0) + 0.02)
-    odds = F.col("both") * F.log(F.lit(TOGETHER) / chance) + (F.col("k") - F.col("both")) * F.log(F.lit(1 - TOGETHER) / (1 - chance)) - math.log(UNALIKE)
+    # without its full name: 1 - TOGETHER, and the chance is the same with both
+    odds = F.col("tells") + (F.col("k") - F.col("both")) * math.log(1 - TOGETHER) - math.log(UNALIKE)
     j = j.withColumn("odds", F.when(F.col("listed"), odds + math.log(UNALIKE)).otherwise(odds))
     up = (F.col("m") > F.col("k")) | F.coalesce("listed", F.lit(False))
     return j.where((F.col("odds") > 0) & up).select("word", "name", "odds")
@@ -453,10 +463,6 @@ def links(rows: DataFrame, row_id: str, autor: str = "autor") -> DataFrame:
     return e.join(best, "entity").select(row_id, "entity", "canonical", "links", "posterior")
 
 
-#: Rows of an entity that one task pairs with the others.
-PAIRED = 1000
-
-
 def pairs(rows: DataFrame, row_id: str, autor: str = "autor") -> DataFrame:
     """Pairs of rows with unequal spellings of the same entity, the smaller id first.
 

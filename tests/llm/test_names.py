@@ -77,3 +77,16 @@ def test_pairs_of_a_large_entity(spark):
     df = spark.range(4500).selectExpr("id as kopf_id", f"element_at(array({', '.join(map(repr, spellings))}), cast(id % 3 as int) + 1) as autor")
     got = N.pairs(df, "kopf_id")
     assert got.count() == got.distinct().count() == 3 * 1500 * 1500
+
+
+def test_short_forms_from_surnames_of_many(spark):
+    """Surnames with more than eight given names tell as well, each by its size; in one with all names nothing is told."""
+    others = [f"name{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    many = [(f"s{n}", w) for n in range(40) for w in ("theodulf", "dulfi", *others[10 * n % 400 : 10 * n % 400 + 10])]
+    many += [(f"u{n}", w) for n in range(30) for w in ("theodulf", *others[7 * n : 7 * n + 9])]
+    df = spark.createDataFrame(many, "root string, word string")
+    got = {(r.word, r.name) for r in N.short_forms(df).collect()}
+    assert ("dulfi", "theodulf") in got and not any(a in others for a, _ in got)
+    crowd = [(f"c{n}", w) for n in range(12) for w in ("alarich", "bodo", *others)] + [(f"d{n}", w) for n in range(9) for w in ("alarich", others[n])]
+    got = {(r.word, r.name) for r in N.short_forms(spark.createDataFrame(crowd, "root string, word string")).collect()}
+    assert ("bodo", "alarich") not in got
