@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ CLEAN_WEIGHT = 20
 #: edit ten times that. A word of lines only is explained by as many misreadings
 #: of a word as FEW and the share MISREAD of its lines, by the number of edits.
 LEAST, SHARE, FEW, MISREAD = 3, 0.02, 3, (0.02, 0.008, 0.003)
-#: Trusted words and word pairs that go to every task, by evidence. Words
-#: beyond are looked up by a join; pairs beyond count as unseen.
+#: Trusted words, and word pairs, from which on a warning tells that the lexicon, which
+#: goes to every task as a whole, is larger than it was measured with.
 TIER, PAIRS = 262_144, 262_144
 #: Distinct words held by a counting task before it hands them on.
 FLUSH = 400_000
@@ -50,9 +51,6 @@ FLUSH = 400_000
 #: letters; and rounds of learning.
 CONFUSED, UNSEEN, UNKNOWN = 2.3, 9.0, 16.0
 EDITS, EDITS_SHORT, ROUNDS = 0.6, 0.5, 2
-#: Confusions that every task has, by how often they were counted; the language
-#: models' alphabets have far fewer.
-CONFUSIONS = 65_536
 #: Weight of the pair in the language model.
 PAIR_WEIGHT = 0.7
 
@@ -201,14 +199,15 @@ def learned_channel(words: DataFrame, trusted: DataFrame) -> dict[tuple[str, str
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.string()), pa.array([b for _, b in both], pa.string()), pa.array([count[x] for x in both], pa.float64())], ["read", "true", "n"])
 
         counts = pairs.mapInArrow(run, "read string, true string, n double").groupBy("read", "true").agg(F.sum("n").alias("n")).join(F.broadcast(stand), "true")
-        rows = counts.where("n > 0").orderBy(F.desc("n"), "read", "true").limit(CONFUSIONS).collect()
+        rows = counts.where("n > 0").collect()
         learned = {(r["read"], r["true"]): min(UNSEEN, max(0.05, -math.log(r["n"] / max(r["n"], r["stand"])))) for r in rows}
     return learned
 
 
 @dataclass
 class Lexicon:
-    """The trusted words and pairs that every task has."""
+    """The trusted words, and the pairs counted more than once: a pair seen once is that of
+    the line in question, which would speak for itself."""
 
     words: dict[str, int]
     pairs: dict[tuple[str, str], int]
@@ -490,8 +489,8 @@ class Reader:
             return any(w for w, _ in self.lex.candidates((a + b).lower()))
         return b[:1].islower() or a.isupper() and b.isupper() or b[0] in DROPPED + REPLACED
 
-    def wrong(self, text: str, before: str | None, after: str | None, hanging: bool = False) -> tuple[list[tuple[str, str]], str, list[str]]:
-        """Misread words with what they are, the corrected line, and words unknown.
+    def wrong(self, text: str, before: str | None, after: str | None, hanging: bool = False) -> tuple[list[tuple[str, str]], str]:
+        """Misread words with what they are, and the corrected line.
 
         ``before`` is the part of a word that the line before left open,
         ``after`` the part that the next line goes on with, both without mark.
@@ -500,7 +499,7 @@ class Reader:
         """
         toks = text.split()
         if all(map(self.sound, toks)):
-            return [], text, []
+            return [], text
         spans, words, free = [], [], []
         for i, tok in enumerate(toks):
             core = tok.strip(_OUTER)
@@ -514,7 +513,7 @@ class Reader:
             free.append(low not in self.lex.words and not _CODE.fullmatch(core) and len(core) > 1 and not (len(core) < 4 and core.isupper()))
         numbers = [(t, _digits(t)) for t in (x.strip(_OUTER) for x in toks) if _NUMBER_LIKE.fullmatch(t) and not re.fullmatch(r"[lIOo]\d|\d[lI]", t)]
         if not any(free) and not numbers:
-            return [], text, []
+            return [], text
         if words and (before is None or hanging):
             free = [f and not (k == 0 and before is None or k == len(words) - 1 and hanging) for k, f in enumerate(free)]
         ends: dict[int, tuple[str, str]] = {}
@@ -525,9 +524,9 @@ class Reader:
         whole = [ends[i][0] + w + ends[i][1] if i in ends else w for i, w in enumerate(words)]
         free = [f and w not in self.lex.words for f, w in zip(free, whole)]
         if not any(free) and not numbers:
-            return [], text, []
+            return [], text
         best = self.lex.decode(whole, free)
-        found, new, unknown = [(t, n) for t, n in numbers], list(toks), []
+        found, new = [(t, n) for t, n in numbers], list(toks)
         for t, n in numbers:
             new = [x.replace(t, n) for x in new]
         for (i, core), w, old, got in zip(spans, words, whole, best):
@@ -550,9 +549,7 @@ class Reader:
                 new[i] = new[i].replace(core, _cased(core, part))
             elif free[at] and self.noisy(core):
                 found.append((core, ""))
-            elif free[at] and not head and not tail and len(core) <= 64:
-                unknown.append(core)
-        return found, " ".join(new), unknown
+        return found, " ".join(new)
 
     @staticmethod
     def noisy(core: str) -> bool:
@@ -634,11 +631,9 @@ def read_block(reader: Reader, rows: list[tuple], out: list[list], texts: bool)
         if cut_here:
             emit(buch, r[0], r[4], "trennung", None, None, None, None, None, None)
         rest = after.split()[0].rstrip(_OUTER) if cut_here else None
-        found, new, unknown = reader.wrong(text, open_before(at - 1), rest, not cut_here and bool(end[1]))
+        found, new = reader.wrong(text, open_before(at - 1), rest, not cut_here and bool(end[1]))
         for token, better in found:
             emit(buch, r[0], r[4], "zeichen", token, strokes(token), None, None, None, better)
-        for token in unknown:
-            emit(buch, r[0], r[4], "offen", token, strokes(token), None, None, None, None)
         if k is not None:
             corrected[r[4]] = (new, cut_here)
     if not texts:
@@ -672,7 +667,7 @@ def read_block(reader: Reader, rows: list[tuple], out: list[list], texts: bool)
 
 
 def read_pages(lines: DataFrame, marks: DataFrame, lexicon: Lexicon, model: encoding.Model, texts: bool) -> DataFrame:
-    """Cases (``rand``, ``trennung``, ``zeichen``, ``offen``) or paragraphs of all blocks."""
+    """Cases (``rand``, ``trennung``, ``zeichen``) or paragraphs of all blocks."""
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast((lexicon.words, lexicon.pairs, lexicon.channel, model))
     block = F.floor(F.col("seite") / PAGES).cast("int")
@@ -742,17 +737,14 @@ def worker_reader(shared) -> Reader:
     return _READERS[key]
 
 
-def build_lexicon(words: DataFrame, pairs: DataFrame) -> tuple[Lexicon, DataFrame]:
-    """The bounded lexicon of every task, and the trusted words beyond it."""
+def build_lexicon(words: DataFrame, pairs: DataFrame) -> Lexicon:
+    """The lexicon of every task: all trusted words, all pairs, all confusions."""
     trusted = cut(trusted_words(words))
-    top = trusted.orderBy(F.desc("evidence"), "word").limit(TIER).collect()
-    two = pairs.orderBy(F.desc("n"), "a", "b").limit(PAIRS).collect()
-    if len(top) < TIER:
-        beyond = trusted.where(F.lit(False))
-    else:
-        e, w = top[-1]["evidence"], top[-1]["word"]
-        beyond = trusted.where((F.col("evidence") < e) | ((F.col("evidence") == e) & (F.col("word") > w)))
-    return Lexicon({r["word"]: r["evidence"] for r in top}, {(r["a"], r["b"]): r["n"] for r in two}, learned_channel(words, trusted)), beyond
+    own = {r["word"]: r["evidence"] for r in trusted.select("word", "evidence").collect()}
+    two = {(r["a"], r["b"]): r["n"] for r in pairs.collect()}
+    if len(own) > TIER or len(two) > PAIRS:
+        warnings.warn(f"{len(own)} trusted words and {len(two)} pairs of words go to every task", stacklevel=2)
+    return Lexicon(own, two, learned_channel(words, trusted))
 
 
 def corpus(lines: DataFrame, documents: DataFrame) -> DataFrame:
@@ -762,28 +754,22 @@ def corpus(lines: DataFrame, documents: DataFrame) -> DataFrame:
 def cases(lines: DataFrame, documents: DataFrame, titles: DataFrame) -> DataFrame:
     """``zeile_id``, ``art``: a row per line and kind of case.
 
-    Words beyond the tier of every task are settled by joins: a word that is
-    trusted there is no misreading, and one with its strokes trusted there is.
     Null and empty lines are no cases; each reading of a line counts for itself.
     """
     words, pairs = lexicon_counts(corpus(lines, documents))
-    lexicon, beyond = build_lexicon(words, pairs)
-    found = cut(read_pages(lines, page_marks(lines, titles), lexicon, encoding.fit(documents), False).select("zeile_id", "art", F.lower("token").alias("word"), "code"))
-    doubted = found.where("art in ('zeichen', 'offen')").join(beyond.select("word"), "word", "left_anti")
-    late = doubted.where("art = 'offen'").join(beyond.select("code").distinct(), "code", "left_semi").select("zeile_id", F.lit("zeichen").alias("art"))
-    sure = doubted.where("art = 'zeichen'").select("zeile_id", "art")
-    return found.where("art in ('rand', 'trennung')").select("zeile_id", "art").unionByName(sure).unionByName(late).distinct()
+    lexicon = build_lexicon(words, pairs)
+    found = read_pages(lines, page_marks(lines, titles), lexicon, encoding.fit(documents), False)
+    return cut(found.select("zeile_id", "art")).distinct()
 
 
 def paragraphs(lines: DataFrame, documents: DataFrame, titles: DataFrame) -> DataFrame:
     """``buch_id``, ``seite``, ``absatz``, ``text``: the running text of each book.
 
-    Page marks are left out, divided words joined, misread words of the tier
-    corrected. A paragraph or word that goes on over the end of a block is joined
+    Page marks are left out, divided words joined, misread words corrected. A paragraph or word that goes on over the end of a block is joined
     with the part in the next block; ``absatz`` ascends in the book's order.
     """
     words, pairs = lexicon_counts(corpus(lines, documents))
-    lexicon, _ = build_lexicon(words, pairs)
+    lexicon = build_lexicon(words, pairs)
     result = cut(read_pages(lines, page_marks(lines, titles), lexicon, encoding.fit(documents), True))
     number = F.floor(F.col("seite") / PAGES).cast("bigint")
     p = result.select("buch_id", "seite", (number * 65_536 + F.col("absatz")).alias("absatz"), (F.col("absatz") == 0).alias("erster"), "offen", "weiter", "text")

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from blattwerk.llm import scan as S
 
 BODY = [
@@ -133,3 +135,15 @@ def test_long_footers(spark):
     titles = spark.createDataFrame([(1, None)], "buch_id long, titel string")
     got = {r.zeile_id for r in S.page_marks(spark.createDataFrame(rows, SCHEMA), titles).collect()}
     assert {900 + page for page in range(1, 9)} <= got
+
+
+def test_no_pair_or_word_is_left_out(spark, monkeypatch):
+    """All pairs and words tell, however many there are."""
+    monkeypatch.setattr(S, "TIER", 2)
+    monkeypatch.setattr(S, "PAIRS", 2)
+    words = spark.createDataFrame([(w, S.strokes(w), 5, 40 - k) for k, w in enumerate(["welle", "lager", "zahnrad", "feder", "buchse"])], "word string, code string, n_doc long, n_line long")
+    pairs = spark.createDataFrame([("welle", "lager", 9), ("lager", "feder", 5), ("feder", "buchse", 4), ("zahnrad", "welle", 2)], "a string, b string, n long")
+    with pytest.warns(UserWarning, match="5 trusted words and 4 pairs"):
+        lexicon = S.build_lexicon(words, pairs)
+    assert lexicon.words["buchse"] == 5 * S.CLEAN_WEIGHT + 36 and len(lexicon.words) == 5
+    assert lexicon.pairs["zahnrad", "welle"] == 2 and len(lexicon.pairs) == 4 and lexicon.follow["feder"] == 4
