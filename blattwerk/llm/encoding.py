@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from blattwerk.llm.labels import LANGUAGES, named_language
 from blattwerk.session import cut
 
-#: Bytes of a dictionary, and how many runs of words it is trained on: those that
-#: have most characters in all labelled documents, far more than find room in it.
-#: A run is shown as often as it was counted, but no more than REPEAT times.
-DICT_BYTES, RUNS, REPEAT = 48 * 1024, 16_384, 4
-#: Distinct words and runs held by a counting task before it hands them on.
+#: Bytes of a dictionary.
+DICT_BYTES = 48 * 1024
+#: Distinct pairs and runs held by a counting task before it hands them on.
 FLUSH = 400_000
+#: Characters of a word in a pair; longer words count in parts of this length.
+PART = 32
 LEVEL = 1
 #: Bytes that a chain has to save beyond its cost, and the cost of one step.
 MIN_GAIN, MIN_GAIN_ODD, STEP_COST = 1.5, 5.0, 0.5
@@ -284,24 +285,31 @@ class Decoder:
 _RUN = re.compile(r"(?:\S{1,32}\s{0,2}){1,4}")
 
 
-def text_counts(documents: DataFrame) -> DataFrame:
+def text_counts(documents: DataFrame, runs: bool = True) -> DataFrame:
     """``lang``, ``kind``, ``item``, ``n`` of all labelled documents, whole.
 
-    Lines of more than 20 characters count: their characters beside ASCII (``c``, under ""
-    all characters), words with such characters (``w``), and the runs of words that a line
-    consists of (``r``). Each task counts its rows first.
+    All lines count: their characters beside ASCII (``c``, under "" all characters), words
+    with such characters (``w``), every two words next to each other (``p``) and, unless
+    ``runs`` is false, the runs of words that a line consists of (``r``). Each task counts
+    its rows first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
-        runs: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+        firsts, pairs, rest = ({lang: Counter() for lang in LANGUAGES} for _ in range(3))
 
         def flush() -> pa.RecordBatch:
             out: list[tuple[str, str, str, int]] = []
             for lang in LANGUAGES:
-                chars, words = Counter(), Counter()
-                for t, n in toks[lang].items():
+                toks, joined, chars, words = firsts[lang], Counter(), Counter(), Counter()
+                for (a, b), n in pairs[lang].items():
+                    toks[b] += n
+                    if len(a) > PART or len(b) > PART:
+                        a, b = a[(len(a) - 1) // PART * PART :], b[:PART]
+                    joined[f"{a} {b}"] += n
+                for t, n in toks.items():
                     chars[""] += n * len(t)
+                    for i in range(PART, len(t), PART):
+                        joined[f"{t[i - PART : i]} {t[i : i + PART]}"] += n
                     if not t.isascii():
                         for c in t:
                             if c > "\x7f":
@@ -309,19 +317,25 @@ def text_counts(documents: DataFrame) -> DataFrame:
                         for w in WORD.findall(t.lower()):
                             if not w.isascii():
                                 words[w] += n
-                for kind, count in (("c", chars), ("w", words), ("r", runs[lang])):
+                for kind, count in (("c", chars), ("w", words), ("p", joined), ("r", rest[lang])):
                     out += [(lang, kind, x, n) for x, n in count.items()]
-                toks[lang].clear(), runs[lang].clear()
+                firsts[lang].clear(), pairs[lang].clear(), rest[lang].clear()
             cols = list(zip(*out)) or [()] * 4
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "item", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [p for p in text.split("\n") if len(p) > 20]
-                toks[lang].update(" ".join(parts).split(" "))
-                for p in parts:
-                    runs[lang].update(_RUN.findall(p))
-            if sum(map(len, toks.values())) + sum(map(len, runs.values())) > FLUSH:
+                first, pair, run_ = firsts[lang], pairs[lang], rest[lang]
+                for p in text.split("\n"):
+                    words = p.split(" ")
+                    if "" in words:
+                        words = [w for w in words if w]
+                    # all other words of the line are the second of a pair
+                    first.update(words[:1])
+                    pair.update(pairwise(words))
+                    if runs:
+                        run_.update(_RUN.findall(p))
+            if sum(len(c) for kind in (firsts, pairs, rest) for c in kind.values()) > FLUSH:
                 yield flush()
         yield flush()
 
@@ -329,18 +343,46 @@ def text_counts(documents: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
+def chained(pairs: list[str]) -> bytes:
+    """A dictionary of ``pairs``, the most frequent first: as many of them as DICT_BYTES hold.
+
+    A pair goes on from one that ends with its first word, so that the word between stands
+    there once. What holds the most frequent pairs comes last, where it is cheapest to refer to.
+    """
+    split, room, after = [p.split(" ") for p in pairs], DICT_BYTES, {}
+    for k, (_, b) in enumerate(split):
+        # a pair adds its second word and a blank at least
+        room -= len(b.encode("utf-8", "surrogatepass")) + 1
+        if room < 0:
+            del split[k:]
+            break
+    for k in reversed(range(len(split))):
+        after.setdefault(split[k][0], []).append(k)
+    used, out, room = [False] * len(split), [], DICT_BYTES
+    for k, (a, b) in enumerate(split):
+        if used[k]:
+            continue
+        used[k], words = True, [a, b]
+        while next_ := after.get(words[-1]):
+            if not used[at := next_.pop()]:
+                used[at] = True
+                words.append(split[at][1])
+        out.append(" ".join([*words, ""]).encode("utf-8", "surrogatepass"))
+        room -= len(out[-1])
+        if room <= 0:
+            break
+    return b"".join(reversed(out))[-DICT_BYTES:]
+
+
 def fit(documents: DataFrame) -> Model:
     """Dictionary and character costs per language, from all labelled documents.
 
-    Characters, words and runs are counted over the whole table; a dictionary of
-    DICT_BYTES is trained on the RUNS runs that have most characters there, those that have
-    most at the end. A language with too little text for a trained dictionary gets the
-    runs themselves as dictionary; an empty table gives no dictionary, and then
-    plain compression decides.
+    Characters, words and pairs of words are counted over the whole table, and nothing
+    else tells the model: a dictionary has the pairs that are most frequent there, of equally
+    frequent ones the first, as many as DICT_BYTES hold. An empty table gives no dictionary,
+    and then plain compression decides.
     """
-    import zstandard as zstd
-
-    counts = cut(text_counts(documents))
+    counts = cut(text_counts(documents, runs=False))
     few: dict[tuple[str, str], dict[str, int]] = {}
     for r in counts.where("kind = 'c' or kind = 'w' and n > 1").collect():
         few.setdefault((r["lang"], r["kind"]), {})[r["item"]] = r["n"]
@@ -349,13 +391,9 @@ def fit(documents: DataFrame) -> Model:
         chars = few.get((lang, "c"), {})
         if not chars:
             continue
-        most = counts.where((F.col("lang") == lang) & (F.col("kind") == "r")).orderBy(F.desc(F.col("n") * F.length("item")), "item").limit(RUNS).collect()
-        raw = [r["item"].encode("utf-8", "surrogatepass") for r in reversed(most)]
-        shown = [x for x, r in zip(raw, reversed(most)) for _ in range(min(REPEAT, r["n"]))]
-        try:
-            model.dictionaries[lang] = zstd.train_dictionary(DICT_BYTES, shown).as_bytes()
-        except zstd.ZstdError:
-            model.dictionaries[lang] = b"".join(raw)[-DICT_BYTES:]
+        # every pair takes two bytes or more, so more of them never find room
+        most = counts.where((F.col("lang") == lang) & (F.col("kind") == "p")).orderBy(F.desc("n"), "item").limit(DICT_BYTES // 2)
+        model.dictionaries[lang] = chained(most.select("item").toArrow()["item"].to_pylist())
         total = chars.pop("") + 1
         model.chars[lang] = {c: min(UNSEEN, math.log2(total / n) / 8) for c, n in chars.items()}
         model.words[lang] = set(few.get((lang, "w"), ()))

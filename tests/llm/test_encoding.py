@@ -100,3 +100,46 @@ def test_p2_leaves_out_what_whole_documents_tell(spark, documents, tmp_path):
     spark.createDataFrame([(1, bad)], "hervorhebung_id long, text string").write.parquet(f"{tmp_path}/hervorhebungen.parquet")
     got = {(r.tabelle, r.id) for r in p2_found(spark, str(tmp_path)).collect()}
     assert got == {("zeilen", 2), ("hervorhebungen", 1)}
+
+
+def test_short_lines_tell_what_p2_leaves_out(spark, documents, tmp_path):
+    """Words that stand in lines of 20 characters or less only count as well."""
+    from blattwerk.llm.queries import p2_found
+
+    more = spark.createDataFrame([(100_000 + i, "Gärbehälterdeckel\nRührflügelnaben\n", "de") for i in range(2)], "doc_id long, text string, lang string")
+    documents.select("doc_id", "text", "lang").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    bad = "die\u200b " + garble("Gärbehälterdeckel und die Rührflügelnaben", "cp1252", "cp850")
+    spark.createDataFrame([(1, bad), (2, "die\u200b Welle")], "zeile_id long, text string").write.parquet(f"{tmp_path}/zeilen.parquet")
+    spark.createDataFrame([], "hervorhebung_id long, text string").write.parquet(f"{tmp_path}/hervorhebungen.parquet")
+    assert {(r.tabelle, r.id) for r in p2_found(spark, str(tmp_path)).collect()} == {("zeilen", 2)}
+
+
+def test_dictionary_has_what_is_frequent_in_all_documents(spark):
+    """Two words that stand together in thousands of different lines are in the dictionary,
+    however many longer lines there are that occur once."""
+    rare = [f"{'Wellendichtring' * 2}{i} {'Passfedernut' * 2}{i} {'Kegelrad' * 3}{i} {'Gehäuse' * 4}{i}" for i in range(18_000)]
+    often = [f"x{i} Kurbel wange y{i}" for i in range(3000)]
+    df = spark.createDataFrame([(i, "\n".join(rare[i::6] + often[i::6]), "de") for i in range(6)], "doc_id long, text string, lang string")
+    model = E.fit(df)
+    assert b"Kurbel wange " in model.dictionaries["de"]
+    n = {r.item: r.n for r in E.text_counts(df, runs=False).where("kind = 'p' and n > 1").collect()}
+    assert n == {"Kurbel wange": 3000} and len(model.dictionaries["de"]) == E.DICT_BYTES
+    assert E.fit(df.repartition(5)) == model
+
+
+def test_pairs_are_chained_into_a_dictionary():
+    assert E.chained(["der Welle", "auf der", "Welle dreht", "ein Rad"]) == b"ein Rad auf der der Welle dreht "
+    assert E.chained([]) == b""
+    many = [f"a{i} b{i}" for i in range(20_000)]
+    got = E.chained(many)
+    assert len(got) == E.DICT_BYTES and got.endswith(b"a1 b1 a0 b0 ") and b" a4000 b4000 " in got and b"a6000" not in got
+
+
+def test_long_words_are_paired_in_parts(spark):
+    df = spark.createDataFrame([(1, "kurz " + "ä" * 70 + "  Ende da", "de"), (2, None, "de"), (3, "", "de"), (4, "allein", "en")], "doc_id long, text string, lang string")
+    n = {r.item: r.n for r in E.text_counts(df, runs=False).where("kind = 'p'").collect()}
+    part = "ä" * E.PART
+    assert n == {f"kurz {part}": 1, f"{part} {part}": 1, f"{part} {'ä' * 6}": 1, f"{'ä' * 6} Ende": 1, "Ende da": 1}
+    model = E.fit(df)
+    assert model.dictionaries["en"] == b"" and E.Decoder(model).examine("die Welle") is None
+    assert E.Decoder(model).examine("die Kr\u0084fte") is not None
