@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain as all_of, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -115,81 +115,116 @@ class Decoder:
             self.chars, self.words = {"und": dict.fromkeys(PLAIN, 1.0)}, {"und": set()}
         self.bytes = {c: byte_table(c) for c in {w for ws in WRONG_FOR.values() for w in ws}}
         self.memo: dict[str, dict[int, str]] = {}
-        self.orderly: dict[str, bool] = {}
+        self.orderly: set[str] = set()
+        self.doubted: set[str] = set()
+        self.odd: dict[str, bool] = {}
+        self.knowing: dict[str, frozenset[str]] = {}
         self.charges: dict[str, dict[str, float]] = {lang: {} for lang in self.comp}
         self.by_length: dict[str, dict[int, list[str]]] = {}
 
     def plain(self, text: str) -> bool:
         """Whether ``text`` has no character beside ASCII and the plain ones
         except in known words: such text is in order."""
-        for t in text.split(" "):
-            if t.isascii():
-                continue
+        toks = text.split(" ")
+        if self.orderly.issuperset(toks):
+            return True
+        if not self.doubted.isdisjoint(toks):
+            return False
+        if len(self.orderly) + len(self.doubted) > 200_000:
+            self.orderly.clear(), self.doubted.clear()
+        for t in toks:
             if t not in self.orderly:
-                if len(self.orderly) > 200_000:
-                    self.orderly.clear()
-                words = [w for w in WORD.findall(t.lower()) if not w.isascii()]
-                usual = all(c < "\x80" or c in PLAIN for c in t) and not _SIGN_IN_WORD.search(t)
-                self.orderly[t] = usual and (all(any(w in own for own in self.words.values()) for w in words) or not self.results(t))
-            if not self.orderly[t]:
-                return False
+                if not t.isascii() and (self.odd_in(t) or _SIGN_IN_WORD.search(t) or not self.words_known(t) and self.results(t)):
+                    self.doubted.add(t)
+                    return False
+                self.orderly.add(t)
         return True
 
+    def odd_in(self, tok: str) -> bool:
+        """Whether ``tok`` has a character that is neither ASCII nor plain."""
+        if tok not in self.odd:
+            if len(self.odd) > 200_000:
+                self.odd.clear()
+            self.odd[tok] = any(c > "\x7f" and c not in PLAIN for c in tok)
+        return self.odd[tok]
+
+    def words_known(self, tok: str) -> bool:
+        """Whether every word of ``tok`` with a character beside ASCII is one of some language."""
+        return all(any(w in own for own in self.words.values()) for w in WORD.findall(tok.lower()) if not w.isascii())
+
     def size(self, text: str, lang: str) -> float:
         """Bytes of ``text`` in a language: compressed, and what its characters beside ASCII
         and its unknown words are charged."""
-        out, own = float(len(self.comp[lang].compress(text.encode("utf-8", "surrogatepass")))), self.charges[lang]
+        out = float(len(self.comp[lang].compress(text.encode("utf-8", "surrogatepass"))))
         for t in text.split(" "):
             if not t.isascii():
-                if t not in own:
-                    if len(own) > 100_000:
-                        own.clear()
-                    cost = self.chars[lang]
-                    own[t] = sum(cost.get(c, UNSEEN) for c in t if c > "\x7f") + UNKNOWN * (not self.known(t, lang))
-                out += own[t]
+                out += self.charge(t, lang)
         return out
 
+    def charge(self, tok: str, lang: str) -> float:
+        """Bytes that the characters beside ASCII of ``tok`` and its unknown words are charged."""
+        own = self.charges[lang]
+        if tok not in own:
+            if len(own) > 100_000:
+                own.clear()
+            cost = self.chars[lang]
+            own[tok] = sum(cost.get(c, UNSEEN) for c in tok if c > "\x7f") + UNKNOWN * (not self.known(tok, lang))
+        return own[tok]
+
+    def known_in(self, tok: str) -> frozenset[str]:
+        """The languages that know all words of ``tok`` with a character beside ASCII; none
+        where it has no such word."""
+        if tok not in self.knowing:
+            if len(self.knowing) > 200_000:
+                self.knowing.clear()
+            words = [w for w in WORD.findall(tok.lower()) if not w.isascii()]
+            self.knowing[tok] = frozenset(lang for lang, own in self.words.items() if words and own.issuperset(words))
+        return self.knowing[tok]
+
     def known(self, tok: str, lang: str) -> bool:
-        words = [w for w in WORD.findall(tok.lower()) if not w.isascii()]
-        return bool(words) and all(w in self.words[lang] for w in words)
-
-    def sound(self, old: str, new: str, lang: str, chain: str) -> bool:
-        """Whether the changed parts of ``new`` are words of the language, or a
-        decoding as UTF-8, which hardly happens by chance, gave usual characters."""
-        changed = [b for a, b in zip(old.split(" "), new.split(" ")) if a != b]
-        if any(self.known(b, lang) for b in changed):
+        return lang in self.known_in(tok)
+
+    def sound(self, changed: list[str], lang: str, chain: str) -> bool:
+        """Whether the changed parts are words of the language, or a decoding as
+        UTF-8, which hardly happens by chance, gave usual characters."""
+        if any(lang in self.known_in(b) for b in changed):
             return True
         return "utf-8" in chain and all(c <= "\x7f" or c in self.chars[lang] or c in PLAIN or c == "\xad" for b in changed for c in b)
 
-    def words_found(self, old: str, new: str) -> bool:
+    def words_found(self, changed: list[str]) -> bool:
         """Whether all changed parts are words of one language now. Nothing less
         tells a wrong decoding where all characters are usual ones."""
-        changed = [b for a, b in zip(old.split(" "), new.split(" ")) if a != b]
-        return any(all(self.known(b, lang) for b in changed) for lang in self.words)
+        return bool(frozenset(self.words).intersection(*map(self.known_in, changed)))
 
     def shortest(self, text: str) -> tuple[float, str]:
         """The least description length of ``text`` over the languages, and which one gives it."""
-        return min((self.size(text, lang), lang) for lang in self.comp)
-
-    def token(self, tok: str, chain: tuple) -> str | None:
-        """``tok`` through ``chain``, or None where that gives nothing usable."""
+        raw, odd, found = text.encode("utf-8", "surrogatepass"), [t for t in text.split(" ") if not t.isascii()], []
+        for lang, comp in self.comp.items():
+            out, own = float(len(comp.compress(raw))), self.charges[lang]
+            for t in odd:
+                out += own[t] if t in own else self.charge(t, lang)
+            found.append((out, lang))
+        return min(found)
+
+    def token(self, tok: str, chain: tuple, steps: dict[tuple[str, str], bytes | str | None]) -> str | None:
+        """``tok`` through ``chain``, or None where that gives nothing usable. ``steps`` holds
+        what single steps gave: chains have them in common."""
         out: str | None = tok
         for wrong, right in chain:
-            table, raw = self.bytes[wrong], bytearray()
-            for ch in out:
-                b = table.get(ch)
-                if b is None:
-                    out = None
-                    break
-                raw.append(b)
-            if out is None:
-                break
-            try:
-                out = raw.decode(right)
-            except UnicodeDecodeError:
-                out = None
-                break
-        if out == tok or out is not None and not all(c < "\x7f" or c in USUAL or c.isalpha() and right == "utf-8" or ord(c) > 0x2000 and right == "utf-8" for c in out):
+            if (out, wrong) not in steps:
+                table = self.bytes[wrong]
+                raw = [table.get(ch) for ch in out]
+                steps[out, wrong] = None if None in raw else bytes(raw)
+            if (raw := steps[out, wrong]) is None:
+                return None
+            if (raw, right) not in steps:
+                try:
+                    steps[raw, right] = raw.decode(right)
+                except UnicodeDecodeError:
+                    steps[raw, right] = None
+            if (out := steps[raw, right]) is None:
+                return None
+        if out == tok or not all(c < "\x7f" or c in USUAL or c.isalpha() and right == "utf-8" or ord(c) > 0x2000 and right == "utf-8" for c in out):
             return None
         return out
 
@@ -198,23 +233,33 @@ class Decoder:
         if tok not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            self.memo[tok] = {k: s for k, chain in enumerate(CHAINS) if (s := self.token(tok, chain)) is not None}
+            steps: dict[tuple[str, str], bytes | str | None] = {}
+            self.memo[tok] = {k: s for k, chain in enumerate(CHAINS) if (s := self.token(tok, chain, steps)) is not None}
         return self.memo[tok]
 
-    def candidates(self, text: str) -> Iterator[tuple[str, str, float]]:
-        """Name, result and cost of every chain that changes ``text``."""
+    def candidates(self, text: str) -> Iterator[tuple[str, str, float, list[str]]]:
+        """Name, result and cost of every chain that changes ``text``, and the parts changed."""
         toks = text.split(" ")
         by: dict[int, dict[int, str]] = {}
+        odd_at = set()
         for i, t in enumerate(toks):
-            if not t.isascii():
-                for k, s in self.results(t).items():
+            if not t.isascii() and (results := self.results(t)):
+                if self.odd_in(t):
+                    odd_at.add(i)
+                for k, s in results.items():
                     by.setdefault(k, {})[i] = s
+
+        def put(new: dict[int, str]) -> str:
+            own = toks.copy()
+            for i, s in new.items():
+                own[i] = s
+            return " ".join(own)
+
         for k in sorted(by):
             new, cost = by[k], STEP_COST * len(CHAINS[k])
-            yield NAMES[k], " ".join(new.get(i, t) for i, t in enumerate(toks)), cost
-            odd = {i: s for i, s in new.items() if any(c > "\x7f" and c not in PLAIN for c in toks[i])}
-            if odd and len(odd) < len(new):
-                yield NAMES[k], " ".join(odd.get(i, t) for i, t in enumerate(toks)), cost + STEP_COST
+            yield NAMES[k], put(new), cost, list(new.values())
+            if odd_at and 0 < len(odd := {i: s for i, s in new.items() if i in odd_at}) < len(new):
+                yield NAMES[k], put(odd), cost + STEP_COST, list(odd.values())
 
     def fits(self, pattern: str, lang: str) -> bool:
         """Whether a known word of the language has the letters of ``pattern``, lost ones being any."""
@@ -256,23 +301,24 @@ class Decoder:
         if not lost and self.plain(text):
             return None
         found = list(self.candidates(text))
+        usual = all(c <= "\x7f" or c in PLAIN for c in text)
+        if usual:  # nothing but known words tells here, so without them nothing is compressed
+            found = [x for x in found if self.words_found(x[3])]
         if not found and not lost:
             return ("lost", text, 0.0) if any("\x80" <= c < "\xa0" and c != "\x85" for c in text) else None
         (old, lang), best = self.shortest(text), None
         if found and (same := self.fold(text)) != text:
             old = min(old, self.shortest(same)[0])
         seen: dict[str, tuple[float, str]] = {}
-        usual = all(c <= "\x7f" or c in PLAIN for c in text)
-        for name, new, cost in found:
-            if usual and not self.words_found(text, new):
-                continue
+        for name, new, cost, changed in found:
             if new not in seen:
                 seen[new] = self.shortest(new)
             total, own = seen[new][0] + cost, seen[new][1]
-            if old - total < (MIN_GAIN if self.sound(text, new, own, name) else MIN_GAIN_ODD):
+            if old - total < MIN_GAIN or best is not None and total >= best[2]:
                 continue
-            if best is None or total < best[2]:
-                best, lang = (name, new, total), own
+            if old - total < MIN_GAIN_ODD and not self.sound(changed, own, name):
+                continue
+            best, lang = (name, new, total), own
         if best:
             new = self.fill(best[1], lang) if lost else best[1]
             return best[0], new, old - best[2]
@@ -294,15 +340,24 @@ def text_counts(documents: DataFrame, runs: bool = True) -> DataFrame:
     its rows first.
     """
 
+    def line_pairs(line: str) -> Iterator[tuple[str, str]]:
+        """Every word of the line after the one before, the first one after an empty one."""
+        words = f" {line}".split(" ")
+        if words.count("") > 1:
+            words = ["", *filter(None, words)]
+        return pairwise(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, pairs, rest = ({lang: Counter() for lang in LANGUAGES} for _ in range(3))
+        pairs, rest = ({lang: Counter() for lang in LANGUAGES} for _ in range(2))
 
         def flush() -> pa.RecordBatch:
             out: list[tuple[str, str, str, int]] = []
             for lang in LANGUAGES:
-                toks, joined, chars, words = firsts[lang], Counter(), Counter(), Counter()
+                toks, joined, chars, words = {}, Counter(), Counter(), Counter()
                 for (a, b), n in pairs[lang].items():
-                    toks[b] += n
+                    toks[b] = toks.get(b, 0) + n
+                    if not a:
+                        continue
                     if len(a) > PART or len(b) > PART:
                         a, b = a[(len(a) - 1) // PART * PART :], b[:PART]
                     joined[f"{a} {b}"] += n
@@ -319,23 +374,17 @@ def text_counts(documents: DataFrame, runs: bool = True) -> DataFrame:
                                 words[w] += n
                 for kind, count in (("c", chars), ("w", words), ("p", joined), ("r", rest[lang])):
                     out += [(lang, kind, x, n) for x, n in count.items()]
-                firsts[lang].clear(), pairs[lang].clear(), rest[lang].clear()
+                pairs[lang].clear(), rest[lang].clear()
             cols = list(zip(*out)) or [()] * 4
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "item", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, pair, run_ = firsts[lang], pairs[lang], rest[lang]
-                for p in text.split("\n"):
-                    words = p.split(" ")
-                    if "" in words:
-                        words = [w for w in words if w]
-                    # all other words of the line are the second of a pair
-                    first.update(words[:1])
-                    pair.update(pairwise(words))
-                    if runs:
-                        run_.update(_RUN.findall(p))
-            if sum(len(c) for kind in (firsts, pairs, rest) for c in kind.values()) > FLUSH:
+                lines = text.split("\n")
+                pairs[lang].update(all_of.from_iterable(map(line_pairs, lines)))
+                if runs:
+                    rest[lang].update(all_of.from_iterable(map(_RUN.findall, lines)))
+            if sum(len(c) for kind in (pairs, rest) for c in kind.values()) > FLUSH:
                 yield flush()
         yield flush()
 

@@ -21,7 +21,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, product
+from itertools import chain, groupby, pairwise, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,10 +102,13 @@ def lexicon_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: tuple[Counter, Counter] = (Counter(), Counter())
-        two: Counter = Counter()
+        two: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
+            raw: tuple[dict[str, int], dict[str, int]] = ({}, {})
+            for own, pairs_ in zip(raw, two):
+                for (_, y), n in pairs_.items():
+                    own[y] = own.get(y, 0) + n
             # punctuation is taken off the distinct words only
             core = {t: c for t in raw[0].keys() | raw[1].keys() if (c := t.strip(_OUTER)) and counted(c)}
             core = {t: c.lower() for t, c in core.items()}
@@ -115,9 +118,10 @@ def lexicon_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                     if t in core:
                         count[core[t]] += n
             pairs: Counter = Counter()
-            for (x, y), n in two.items():
-                if x in core and y in core:
-                    pairs[core[x], core[y]] += n
+            for pairs_ in two:
+                for (x, y), n in pairs_.items():
+                    if x in core and y in core:
+                        pairs[core[x], core[y]] += n
             keys = list(words[0].keys() | words[1].keys())
             both = list(pairs)
             out = pa.RecordBatch.from_arrays(
@@ -130,23 +134,27 @@ def lexicon_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ],
                 ["a", "b", "code", "n_doc", "n_line"],
             )
-            raw[0].clear(), raw[1].clear(), two.clear()
+            two[0].clear(), two[1].clear()
             return out
 
-        for batch in batches:
-            for text, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        def read(texts: list[str], clean: bool) -> Iterator[Iterator[tuple[str, str]]]:
+            for text in texts:
                 text = fold(text)
                 if not clean and text[-1:] in MARKS + HYPHENS:
                     text = text.rpartition(" ")[0]
-                toks = text.split()
-                raw[clean].update(toks)
-                two.update(zip(toks, toks[1:]))
-            if len(two) + len(raw[0]) + len(raw[1]) > FLUSH:
+                # every word is the second of a pair, the first one after a sign that is no word
+                yield pairwise(f". {text}".split())
+
+        for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for clean, count in enumerate(two):
+                count.update(chain.from_iterable(read([t for t, c in rows if c == clean], bool(clean))))
+            if len(two[0]) + len(two[1]) > FLUSH:
                 yield flush()
         yield flush()
 
     parts = texts.where("text is not null and text <> ''").select("text", "clean").mapInArrow(run, "a string, b string, code string, n_doc bigint, n_line bigint")
-    both = cut(parts.groupBy("a", "b").agg(F.first("code").alias("code"), F.sum("n_doc").alias("n_doc"), F.sum("n_line").alias("n_line")).where("b is null or n_line > 1"))
+    both = cut(parts.groupBy("a", "b", "code").agg(F.sum("n_doc").alias("n_doc"), F.sum("n_line").alias("n_line")).where("b is null or n_line > 1"))
     return both.where("b is null").select(F.col("a").alias("word"), "code", "n_doc", "n_line"), both.where("b is not null").select("a", "b", F.col("n_line").alias("n"))
 
 
@@ -261,8 +269,11 @@ class Lexicon:
             new, come = {}, {}
             for w, c in layer:
                 if score:
-                    p = min(score, key=lambda q: score[q] + self.cost(q, w))
-                    total = score[p] + self.cost(p, w) + c
+                    total, p = math.inf, None
+                    for q, s in score.items():
+                        if (t := s + self.cost(q, w)) < total:
+                            total, p = t, q
+                    total += c
                 else:
                     p, total = None, self.cost(None, w) + c
                 if w not in new or total < new[w]:
@@ -284,29 +295,43 @@ def aligned(seen: str, word: str, channel: dict[tuple[str, str], float]) -> tupl
     CONFUSED for each.
     """
     unseen = UNSEEN if channel else CONFUSED
-    get = channel.get
-    width = len(word) + 1
-    best = [0.0] * width
-    from_: list[list[tuple[int, int] | None]] = [[None] * width]
-    for j in range(1, width):
-        best[j] = best[j - 1] + get(("", word[j - 1]), unseen)
-        from_[0][j] = (0, 1)
-    rows = [best]
+    get, stroke = channel.get, STROKES.get
+    # what depends on one letter is looked up once, not for every pair of letters
+    add = [get(("", y), unseen) for y in word]
+    ones: dict[str, list[int]] = {}
+    twos: dict[str, list[int]] = {}
+    for j, y in enumerate(word, 1):
+        ones.setdefault(stroke(y, "!"), []).append(j)
+        if j > 1:
+            twos.setdefault(stroke(word[j - 2], "?") + stroke(y, "?"), []).append(j)
+    swaps: dict[str, list[float]] = {}
+    last = [0.0]
+    for c in add:
+        last.append(last[-1] + c)
+    from_: list[list[tuple[int, int] | None]] = [[None, *[(0, 1)] * len(word)]]
+    before: list[float] = []
     for i, x in enumerate(seen, 1):
-        row, come = [rows[-1][0] + get((x, ""), unseen)], [(1, 0)]
-        for j, y in enumerate(word, 1):
-            cost, step = rows[-1][j - 1] + (0.0 if x == y else get((x, y), unseen)), (1, 1)
-            if (c := rows[-1][j] + get((x, ""), unseen)) < cost:
+        drop = get((x, ""), unseen)
+        if x not in swaps:
+            swaps[x] = [0.0 if x == y else get((x, y), unseen) for y in word]
+        for_two = ones.get(stroke(seen[i - 2], "?") + stroke(x, "?"), ()) if i > 1 else ()
+        for_one = twos.get(stroke(x, "!"), ())
+        left = last[0] + drop
+        row, come = [left], [(1, 0)]
+        for j, (swap, more, over, up) in enumerate(zip(swaps[x], add, last, last[1:]), 1):
+            cost, step = over + swap, (1, 1)
+            if (c := up + drop) < cost:
                 cost, step = c, (1, 0)
-            if (c := row[j - 1] + get(("", y), unseen)) < cost:
+            if (c := left + more) < cost:
                 cost, step = c, (0, 1)
-            if i > 1 and STROKES.get(seen[i - 2], "?") + STROKES.get(x, "?") == STROKES.get(y, "!") and (c := rows[-2][j - 1] + get((seen[i - 2 : i], y), unseen)) < cost:
+            if for_two and j in for_two and (c := before[j - 1] + get((seen[i - 2 : i], word[j - 1]), unseen)) < cost:
                 cost, step = c, (2, 1)
-            if j > 1 and STROKES.get(word[j - 2], "?") + STROKES.get(y, "?") == STROKES.get(x, "!") and (c := rows[-1][j - 2] + get((x, word[j - 2 : j]), unseen)) < cost:
+            if for_one and j in for_one and (c := last[j - 2] + get((x, word[j - 2 : j]), unseen)) < cost:
                 cost, step = c, (1, 2)
+            left = cost
             row.append(cost)
             come.append(step)
-        rows.append(row)
+        before, last = last, row
         from_.append(come)
     i, j, edits = len(seen), len(word), []
     while i or j:
@@ -314,7 +339,7 @@ def aligned(seen: str, word: str, channel: dict[tuple[str, str], float]) -> tupl
         if (a := seen[i - di : i]) != (b := word[j - dj : j]):
             edits.append((a, b))
         i, j = i - di, j - dj
-    return rows[-1][-1], edits
+    return last[-1], edits
 
 
 # ---- what belongs to the page
@@ -435,7 +460,7 @@ def open_part(text: str) -> tuple[str, str]:
     """The last word of a line without its mark of division, and the mark or ""."""
     text = text.rstrip()
     mark = text[-1:] if text[-1:] in (*MARKS, *HYPHENS) else ""
-    words = text[: len(text) - len(mark)].split()
+    words = text[: len(text) - len(mark)].rsplit(None, 1)
     return (words[-1].lstrip(_OUTER) if words else ""), mark
 
 
@@ -445,6 +470,9 @@ class Reader:
     def __init__(self, lexicon: Lexicon, decoder: encoding.Decoder):
         self.lex, self.decoder = lexicon, decoder
         self.seen: dict[str, bool] = {}
+        self.good: set[str] = set()
+        self.judged: dict[str, tuple[str, bool] | None] = {}
+        self.meant: dict[str, tuple[str, str] | None] = {}
 
     def sound(self, tok: str) -> bool:
         """Whether a token is a known word, a code, or no word at all."""
@@ -452,10 +480,31 @@ class Reader:
             core = tok.strip(_OUTER)
             word = core and _LETTER.search(core) and core.lower() not in self.lex.words and not _CODE.fullmatch(core)
             if len(self.seen) > 400_000:
-                self.seen.clear()
+                self.seen.clear(), self.good.clear()
             self.seen[tok] = not word and not _NUMBER_LIKE.fullmatch(core)
+            if self.seen[tok]:
+                self.good.add(tok)
         return self.seen[tok]
 
+    def judge(self, core: str) -> tuple[str, bool] | None:
+        """A word in small letters and whether it may change; None for no word."""
+        if core not in self.judged:
+            if len(self.judged) > 200_000:
+                self.judged.clear()
+            low = core.lower()
+            free = low not in self.lex.words and not _CODE.fullmatch(core) and len(core) > 1 and not (len(core) < 4 and core.isupper())
+            self.judged[core] = None if not core or not _LETTER.search(core) or _NUMBER_LIKE.fullmatch(core) else (low, free)
+        return self.judged[core]
+
+    def number(self, core: str) -> tuple[str, str] | None:
+        """A number with letters in the place of digits, and the one that is meant."""
+        if core not in self.meant:
+            if len(self.meant) > 200_000:
+                self.meant.clear()
+            misread = _NUMBER_LIKE.fullmatch(core) and not re.fullmatch(r"[lIOo]\d|\d[lI]", core)
+            self.meant[core] = (core, _digits(core)) if misread else None
+        return self.meant[core]
+
     def legible(self, text: str) -> str:
         """The line in one form and, where it was garbled, restored."""
         text = fold(text)
@@ -498,20 +547,19 @@ class Reader:
         line ends with one: such words are part of a compound and not judged.
         """
         toks = text.split()
-        if all(map(self.sound, toks)):
+        if self.good.issuperset(toks) or all(map(self.sound, toks)):
             return [], text
         spans, words, free = [], [], []
         for i, tok in enumerate(toks):
             core = tok.strip(_OUTER)
             if i == len(toks) - 1 and tok[-1:] in MARKS + HYPHENS:
                 core = tok[:-1].strip(_OUTER)
-            if not core or not _LETTER.search(core) or _NUMBER_LIKE.fullmatch(core):
+            if (judged := self.judge(core)) is None:
                 continue
-            low = core.lower()
             spans.append((i, core))
-            words.append(low)
-            free.append(low not in self.lex.words and not _CODE.fullmatch(core) and len(core) > 1 and not (len(core) < 4 and core.isupper()))
-        numbers = [(t, _digits(t)) for t in (x.strip(_OUTER) for x in toks) if _NUMBER_LIKE.fullmatch(t) and not re.fullmatch(r"[lIOo]\d|\d[lI]", t)]
+            words.append(judged[0])
+            free.append(judged[1])
+        numbers = [n for x in toks if (n := self.number(x.strip(_OUTER)))]
         if not any(free) and not numbers:
             return [], text
         if words and (before is None or hanging):

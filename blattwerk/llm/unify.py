@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +44,14 @@ VISIBLE_KINDS = {"<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<fon
 KEPT = frozenset(map(chr, [0xA8, 0xAA, 0xAF, 0xB4, 0xB5, 0xB8, 0xBA, *range(0x2D8, 0x2DE), 0x2026, 0x201A, 0x2033, 0x2034, 0x2057, 0x2100, 0x2101, 0x2105, 0x2106, 0x2116, 0x2120, 0x2121, 0x2122, 0x213B, *range(0x222C, 0x2231)]))
 
 
+def decomposed() -> Iterator[str]:
+    """The characters beside ASCII of which some decompose, in order: runs of others are skipped."""
+    chars = array("I", range(sys.maxunicode + 1)).tobytes().decode(f"utf-32-{sys.byteorder[0]}e", "surrogatepass")
+    for at in range(0x80, len(chars), 64):
+        if not unicodedata.is_normalized("NFKD", chars[at : at + 64]):
+            yield from chars[at : at + 64]
+
+
 @lru_cache
 def mapping() -> dict[str, str]:
     """Code point to the ordinary code points it stands for, in NFD.
@@ -52,8 +61,8 @@ def mapping() -> dict[str, str]:
     lists above.
     """
     out: dict[str, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        ch = chr(cp)
+    for ch in decomposed():
+        cp = ord(ch)
         d = unicodedata.decomposition(ch)
         if not d or ch in KEPT:
             continue

@@ -1,3 +1,5 @@
+import pytest
+
 from blattwerk.llm import encoding as E
 
 TEXT = "Deshalb muss der Prüfer größere Kräfte vermeiden und die Führungen überträgt."
@@ -143,3 +145,13 @@ def test_long_words_are_paired_in_parts(spark):
     model = E.fit(df)
     assert model.dictionaries["en"] == b"" and E.Decoder(model).examine("die Welle") is None
     assert E.Decoder(model).examine("die Kr\u0084fte") is not None
+
+
+def test_nothing_is_compressed_where_only_known_words_tell(spark, documents, monkeypatch):
+    decoder = E.Decoder(E.fit(documents))
+    text = "die Welle kèrz warm"
+    assert decoder.results("kèrz") and not decoder.known("kèrz", "de") and not decoder.plain(text)
+    garbled = "die Welle lèuft warm"  # läuft, of Mac OS Roman read as code page 850
+    assert decoder.examine(garbled)[1] == "die Welle läuft warm"
+    monkeypatch.setattr(decoder, "shortest", lambda text: pytest.fail("compressed"))
+    assert decoder.examine(text) is None

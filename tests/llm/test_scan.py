@@ -147,3 +147,36 @@ def test_no_pair_or_word_is_left_out(spark, monkeypatch):
         lexicon = S.build_lexicon(words, pairs)
     assert lexicon.words["buchse"] == 5 * S.CLEAN_WEIGHT + 36 and len(lexicon.words) == 5
     assert lexicon.pairs["zahnrad", "welle"] == 2 and len(lexicon.pairs) == 4 and lexicon.follow["feder"] == 4
+
+
+def test_nothing_is_costed_twice():
+    """Every pair of candidates is costed once, every letter too many or lost looked up once."""
+    asked = []
+
+    class Counting(S.Lexicon):
+        def cost(self, before, word):
+            asked.append((before, word))
+            return super().cost(before, word)
+
+    lex = Counting({"welle": 900, "die": 5000, "der": 9000, "dor": 1}, {("die", "welle"): 300}, {})
+    assert lex.decode(["dic", "we■le", "die"], [True, True, False]) == ["die", "welle", "die"]
+    assert len(asked) == len(set(asked))
+
+    class Channel(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    asked.clear()
+    assert S.aligned("warrn", "warm", Channel({("rn", "m"): 0.5})) == (0.5, [("rn", "m")])
+    letters = [key for key in asked if "" in key]
+    assert len(letters) == len("warrn") + len("warm")
+
+
+def test_words_and_pairs_counted(spark):
+    """Words of clean texts and of lines apart, pairs of both together; first and only words too."""
+    rows = [("die Welle läuft.", True), ("Die Welle", False), ("Nabe", False), ("die Welle läuft ver-", False), (" . die (Welle) 12 Nabe", True), ("   ", False), ("Schmie-", False), (None, True)]
+    words, pairs = S.lexicon_counts(spark.createDataFrame(rows, "text string, clean boolean"))
+    assert {(r.word, r.n_doc, r.n_line) for r in words.collect()} == {("die", 2, 2), ("welle", 2, 2), ("läuft", 1, 1), ("nabe", 1, 1)}
+    assert all(r.code == S.strokes(r.word) for r in words.collect())
+    assert {(r.a, r.b, r.n) for r in pairs.collect()} == {("die", "welle", 4), ("welle", "läuft", 2)}
